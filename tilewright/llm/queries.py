@@ -6,18 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import quality
+from tilewright.llm import linededup, mixing, quality, urlfilter
 from tilewright.llm.common import documents
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4_mixing(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op7_line_dedup(documents(spark, sf_dir))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op8_url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality_rules(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.OP4_SQL,
+    "op7_line_dedup": linededup.OP7_SQL,
+    "op8_url_filters": urlfilter.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
