@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import chat, linededup, mixing, quality, sentencepieces, tokenfile, urlfilter
+from tilewright.llm import chat, jaccard, linededup, mixing, quality, sentencepieces, tokenfile, urlfilter
 from tilewright.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.op1_sentencepiece(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op2_ngram_jaccard(documents(spark, sf_dir))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op3_token_output(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_output": op3_token_output,
     "op4_mixing": op4_mixing,
     "op5_chat_formatting": op5_chat_formatting,
