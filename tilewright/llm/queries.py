@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import chat, jaccard, linededup, mixing, quality, sentencepieces, tokenfile, urlfilter
+from tilewright.llm import chat, jaccard, linededup, mih, mixing, quality, sentencepieces, tokenfile, urlfilter
 from tilewright.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op5_chat_formatting(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.op6_nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op7_line_dedup(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_mixing": op4_mixing,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
