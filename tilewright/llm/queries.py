@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import chat, jaccard, linededup, mih, mixing, quality, sentencepieces, tokenfile, urlfilter
+from tilewright.llm import chat, jaccard, linededup, mih, mixing, quality, sentencepieces, suffixes, tokenfile, urlfilter
 from tilewright.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality_rules(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op10_suffix_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": linededup.OP7_SQL,
     "op8_url_filters": urlfilter.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op10_suffix_dedup": suffixes.OP10_SQL,
 }
