@@ -2,21 +2,25 @@
 a collection's Burrows-Wheeler transform (BWT) with its common prefixes.
 
 The transform is built for many short strings at once, one symbol of each a
-round, from the last to the first (``Collection``).  To deal a corpus out so that
+round, from the last to the first (``Collection``).  A symbol is a few bytes and
+each string stands in the collection at every alignment, which takes as many
+times fewer rounds and leaves no place out.  To deal a corpus out so that
 equal strings of ``length`` bytes meet, every window of that length goes to the
 bucket of its minimizer, the least hash of the ``GRAM``-byte strings in it; a run
 of neighbouring windows with one minimizer is a piece.  Equal windows have equal
 minimizers, so no repeat is lost, and matches never leave a document.
 
-1. Minimizers that occur once in the corpus hold no repeat; the others are marked
+1. Of documents with the same text only the first goes through the steps below:
+   every byte of the others (from ``length`` bytes on) is a repeat.
+2. Minimizers that occur once in the corpus hold no repeat; the others are marked
    in a bitmap of fixed size.  Only marked pieces go on (a full bitmap lets more
    pieces go on, nothing else).
-2. Pieces with the same content are one string; all but its first place are
+3. Pieces with the same content are one string; all but its first place are
    repeats as a whole.
-3. The different strings of a bucket are put in a collection; suffixes with a
+4. The different strings of a bucket are put in a collection; suffixes with a
    common prefix of ``length`` bytes are neighbours there, and all but the first
    place of such an interval are repeats.
-4. A bucket with more than ``HOT`` different strings is not gathered: its windows
+5. A bucket with more than ``HOT`` different strings is not gathered: its windows
    are grouped by their own 128-bit names instead.
 
 The transform of a task's collection is kept as byte arrays that every round
@@ -32,111 +36,151 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import materialize
 from tilewright.llm.jaccard import bitmap_of, in_bitmap
+from tilewright.llm.ragged import take
 from tilewright.llm.shingles import mix, powers, text_bytes
 
 LENGTH = 100
 GRAM = 32
 BLOCK = 3000
+BYTES = 60_000
 HOT = 16_384
 _RUN = 120  # windows of a piece at most
-_SLICE = 500
+_SLICE = 64
 _NULL_ID = -(1 << 63)
 
 
 class Collection:
-    """BWT and longest common prefixes of strings under 256 bytes.
-
-    After round ``j`` the suffixes of up to ``j`` symbols of all strings are in
-    order; their preceding symbols are the transform.  Round ``j`` sorts the
-    transform by symbol (stable): that is where the suffixes one symbol longer
-    stand, so the new ones are merged in at their ranks.  The common prefix of
-    neighbours is one more than the least between their tails.
+    """BWT and longest common prefixes of a collection of symbol strings.
+
+    ``columns[j, i]`` is the symbol (from 1) that stands ``j`` places before the
+    end of string ``i``; 0 past its start.  After round ``j`` the suffixes of up
+    to ``j`` symbols of all strings are in order; their preceding symbols are the
+    transform.  Round ``j`` sorts the transform by symbol (stable): that is where
+    the suffixes one symbol longer stand, so the new ones are merged in at their
+    ranks.  The common prefix of neighbours is one more than the least between
+    their tails.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.starts = data, offsets[:-1]
-        self.sizes = offsets[1:] - offsets[:-1]
-        m = len(self.sizes)
-        self.bwt = self._before(np.arange(m), 0)
+    def __init__(self, columns: np.ndarray, sizes: np.ndarray):
+        self.columns, self.sizes = columns, sizes
+        m, longest = len(sizes), int(sizes.max(initial=0))
+        self.bwt = columns[0]
         self.lcp = np.zeros(m, np.uint8)
-        at = live = np.flatnonzero(self.sizes > 0)
-        for j in range(1, int(self.sizes.max(initial=0)) + 1):
-            more = self.sizes[live] >= j
-            at, live = at[more], live[more]
+        at = live = np.flatnonzero(sizes > 0)
+        for j in range(1, longest + 1):
+            more = sizes[live] >= j
+            if not more.all():
+                at, live = at[more], live[more]
             at = self._insert(live, at, j, m)
 
-    def _before(self, strings: np.ndarray, j: int) -> np.ndarray:
-        """Symbol before the last ``j`` ones, plus 1; 0 at the string's start."""
-        left = self.sizes[strings] - j - 1
-        inside = left >= 0
-        out = np.zeros(len(strings), np.uint16)
-        out[inside] = self.data[self.starts[strings[inside]] + left[inside]].astype(np.uint16) + 1
+    def _order(self) -> tuple[np.ndarray, int]:
+        order = np.argsort(self.bwt, kind="stable")
+        return order, len(self.bwt) - int(np.count_nonzero(self.bwt))
+
+    def _least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least common prefix in each range [low, high)."""
+        table = [self.lcp]
+        size = high - low
+        level = np.frexp(size)[1] - 1
+        for k in range(int(level.max(initial=0))):
+            table.append(np.minimum(table[-1][: -(1 << k)], table[-1][1 << k :]))
+        out = np.empty(len(low), np.uint8)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(table[k][low[at]], table[k][high[at] - (1 << int(k))])
         return out
 
     def _insert(self, live: np.ndarray, at: np.ndarray, j: int, m: int) -> np.ndarray:
         old = len(self.bwt)
-        order = np.argsort(self.bwt, kind="stable")
-        ends = int((self.bwt == 0).sum())
-        rank = np.empty(old, np.int64)
-        rank[order] = np.arange(m - ends, m - ends + old)
+        order, ends = self._order()
+        rank = np.empty(old, np.int32)
+        rank[order] = np.arange(m - ends, m - ends + old, dtype=np.int32)
         new_at = rank[at]
         size = old + len(live)
         fresh = np.zeros(size + 1, bool)
         fresh[new_at] = True
-        bwt, lcp = np.empty(size, np.uint16), np.empty(size, np.uint8)
         stay = ~fresh[:size]
+        bwt, lcp = np.empty(size, self.bwt.dtype), np.empty(size, np.uint8)
         bwt[stay] = self.bwt
         lcp[stay] = self.lcp
-        bwt[new_at] = self._before(live, j)
+        bwt[new_at] = self.columns[j][live]
         # common prefixes change where a suffix is new or follows a new one
-        touched = np.flatnonzero(fresh[:size] | np.concatenate(([False], fresh[: size - 1])))
+        fresh[1:] |= fresh[:-1]
+        touched = np.flatnonzero(fresh[:size])
         touched = touched[touched >= m]
-        tail = order[touched - m + ends]
-        before = order[np.maximum(touched - m + ends - 1, 0)]
-        same = (touched > m) & (self.bwt[tail] == self.bwt[before])
+        tail = order[touched - (m - ends)]
+        before = order[np.maximum(touched - (m - ends) - 1, 0)]
+        same = np.flatnonzero((self.bwt[tail] == self.bwt[before]) & (touched > m))
         value = np.zeros(len(touched), np.uint8)
-        if same.any():
-            bounds = np.empty(2 * int(same.sum()), np.int64)
-            bounds[::2], bounds[1::2] = before[same] + 1, tail[same] + 1
-            least = np.minimum.reduceat(np.append(self.lcp, np.uint8(255)), bounds)[::2]
-            value[same] = least + 1
+        if len(same):
+            value[same] = self._least(before[same] + 1, tail[same] + 1) + 1
         lcp[touched] = value
         self.bwt, self.lcp = bwt, lcp
         return new_at
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """String and offset of each suffix in order, walked through the transform."""
+        """String and length in symbols of each suffix in order, walked through
+        the transform."""
         m, n = len(self.sizes), len(self.bwt)
-        order = np.argsort(self.bwt, kind="stable")
-        ends = int((self.bwt == 0).sum())
+        order, ends = self._order()
         step = np.empty(n, np.int64)
         step[order] = np.arange(m - ends, m - ends + n)
-        string, offset = np.empty(n, np.int64), np.empty(n, np.int64)
+        string, length = np.empty(n, np.int64), np.empty(n, np.int64)
         at, live = np.arange(m), np.arange(m)
-        string[at], offset[at] = live, self.sizes
+        string[at], length[at] = live, 0
         for j in range(1, int(self.sizes.max(initial=0)) + 1):
             keep = self.sizes[live] >= j
             live, at = live[keep], step[at[keep]]
-            string[at], offset[at] = live, self.sizes[live] - j
-        return string, offset
+            string[at], length[at] = live, j
+        return string, length
+
+
+def columns_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and sizes of strings whose symbols are ``width`` bytes.
+
+    String ``i`` stands there ``width`` times, without its last 0, 1, ... bytes
+    (string ``i * width + a`` lacks ``a``), so that a suffix from any byte on is
+    a whole number of symbols in one of them.
+    """
+    n = np.diff(offsets)
+    drop = np.tile(np.arange(width), len(n))
+    ends = np.repeat(offsets[1:], width) - drop
+    sizes = np.maximum(np.repeat(n, width) - drop, 0) // width
+    string = np.repeat(np.arange(len(sizes)), sizes)
+    j = np.arange(len(string)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begin = ends[string] - width * (j + 1)
+    value = np.zeros(len(begin), np.uint64)
+    for k in range(width):
+        value = value << np.uint64(8) | data[begin + k]
+    names, code = np.unique(value, return_inverse=True)
+    kind = np.uint8 if len(names) < 256 else np.uint16 if len(names) < 1 << 16 else np.uint32
+    columns = np.zeros((int(sizes.max(initial=0)) + 1, len(sizes)), kind)
+    columns[j, string] = code + 1
+    return columns, sizes
 
 
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the windows of ``length`` bytes that occur at an
     earlier place (document, position) of the collection."""
-    c = Collection(data, offsets)
-    string, offset = c.places()
+    width = next(w for w in (5, 4, 3, 2, 1) if length % w == 0)
+    columns, sizes = columns_of(data, offsets, width)
+    c = Collection(columns, sizes)
+    string, symbols = c.places()
+    string, lacking = string // width, string % width
+    offset = np.diff(offsets)[string] - lacking - width * symbols
     _, order = np.unique(docs, return_inverse=True)
     place = (order[string].astype(np.int64) << 40) + starts[string] + offset
-    first = np.flatnonzero(np.concatenate(([True], c.lcp[1:] < length)))
+    apart = c.lcp[1:] < length // width
+    first = np.flatnonzero(np.concatenate(([True], apart)))
     least = np.minimum.reduceat(place, first)
-    group = np.cumsum(np.concatenate(([0], c.lcp[1:] < length)))
-    later = (place > least[group]) & (c.sizes[string] - offset >= length)
+    group = np.cumsum(np.concatenate(([0], apart)))
+    later = (place > least[group]) & (width * symbols >= length)
     return string[later], offset[later]
 
 
@@ -148,6 +192,10 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+_FIRST = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x9E37))
+_SECOND = mix(_FIRST ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
 class Pieces:
     """The pieces of the texts of one slice."""
 
@@ -156,9 +204,8 @@ class Pieces:
         n, width = len(self.buf), length - GRAM + 1
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        values = mix(self.buf.astype(np.uint64) + np.uint64(0x9E37))
-        np.cumsum(values * up[:n], out=self.sums[1:])
-        self._values, self._up, self._second = values, up, None
+        np.cumsum(_FIRST[self.buf] * up[:n], out=self.sums[1:])
+        self._up, self._second = up, None
         self.row = self.start = self.size = np.zeros(0, np.int64)
         self.least = np.zeros(0, np.uint64)
         if n < length:
@@ -177,8 +224,9 @@ class Pieces:
             return
         v = least[at]
         new = np.concatenate(([True], (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)))
-        row_start = np.isin(at, self.offsets)
-        new |= row_start
+        begins = np.zeros(n + 1, bool)
+        begins[self.offsets] = True
+        new |= begins[at]
         run = np.flatnonzero(new)
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         begin = np.flatnonzero(place % _RUN == 0)
@@ -191,8 +239,6 @@ class Pieces:
 
     def occurrences(self, which: np.ndarray) -> np.ndarray:
         """How often each chosen piece holds its minimizer."""
-        from tilewright.llm.ragged import take
-
         if not len(which):
             return np.zeros(0, np.int64)
         n = self.size[which] - GRAM + 1
@@ -203,8 +249,7 @@ class Pieces:
         """128-bit names of the strings at ``first``."""
         if self._second is None:
             self._second = np.zeros(len(self.buf) + 1, np.uint64)
-            other = mix(self._values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            np.cumsum(other * self._up[: len(self.buf)], out=self._second[1:])
+            np.cumsum(_SECOND[self.buf] * self._up[: len(self.buf)], out=self._second[1:])
         a = (self.sums[first + size] - self.sums[first]) * self.down[first]
         b = (self._second[first + size] - self._second[first]) * self.down[first]
         return mix(a + size.astype(np.uint64)).view(np.int64), mix(b ^ np.uint64(0x77)).view(np.int64)
@@ -246,56 +291,71 @@ def _marked(docs: DataFrame, length: int, bits) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(run, "h long, c1 long, c2 long, doc long, start long, size int, own boolean")
 
 
-def _strings(rows: DataFrame, length: int) -> DataFrame:
-    """h, doc, start, bytes of the listed pieces of each text."""
+def place_name(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return mix(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + starts.astype(np.uint64)) >> np.uint64(1)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """The ``place`` names of (doc, start)."""
+
+    def run(batches):
+        for b in batches:
+            yield _batch("place", place_name(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))
+
+    return rows.select("doc", "start").mapInArrow(run, "place long")
+
+
+def _strings(docs: DataFrame, length: int, bits, places) -> DataFrame:
+    """h, doc, start, bytes of the marked pieces whose place may be wanted."""
 
     def run(batches):
         for b in _slices(batches):
-            buf, offsets = text_bytes(b.column("_text"))
-            lists = b.column("want")
-            rows_of = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            w = lists.flatten()
-            h, start, size = (w.field(c).to_numpy() for c in ("h", "start", "size"))
-            fits = offsets[rows_of] + start + size <= offsets[rows_of + 1]
-            out = [[], [], [], []]
-            ids = b.column("_id").to_numpy()
-            for r, k, s, n in zip(rows_of[fits], h[fits], start[fits], size[fits]):
-                at = offsets[r] + s
-                out[0].append(k), out[1].append(ids[r]), out[2].append(s), out[3].append(buf[at : at + n].tobytes())
-            if out[0]:
-                yield _batch("h doc start bytes", np.array(out[0]), np.array(out[1]), np.array(out[2]), pa.array(out[3], pa.binary()))
+            p = Pieces(b.column(1), length)
+            which = np.flatnonzero(in_bitmap(bits.value, p.least))
+            ids = b.column(0).to_numpy()[p.row[which]]
+            keep = in_bitmap(places.value, place_name(ids, p.start[which]))
+            which, ids = which[keep], ids[keep]
+            if len(which):
+                cut = np.concatenate(([0], np.cumsum(p.size[which]))).astype(np.int32)
+                data = take(p.buf, p.first[which], p.size[which])
+                strings = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(cut), pa.py_buffer(data)])
+                yield _batch("h doc start bytes", p.least[which].view(np.int64), ids, p.start[which], strings)
 
-    return rows.mapInArrow(run, "h long, doc long, start long, bytes binary")
+    return docs.select("_id", "_text").mapInArrow(run, "h long, doc long, start long, bytes binary")
 
 
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """c1, c2, doc, start of every window of the listed pieces."""
+def _windows(strings: DataFrame, length: int) -> DataFrame:
+    """c1, c2, doc, start of every window of the strings."""
 
     def run(batches):
         for b in _slices(batches):
-            p = Pieces(b.column("_text"), length)
-            lists = b.column("want")
-            rows_of = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            w = lists.flatten()
-            start, size = w.field("start").to_numpy(), w.field("size").to_numpy()
-            fits = p.offsets[rows_of] + start + size <= p.offsets[rows_of + 1]
-            n = (size - length + 1)[fits]
-            r = np.repeat(rows_of[fits], n)
-            s = np.repeat(start[fits] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            p = Pieces(b.column("bytes").cast(pa.large_binary()).view(pa.large_string()), length)
+            n = np.maximum(np.diff(p.offsets) - length + 1, 0)
+            r = np.repeat(np.arange(len(n)), n)
+            s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             c1, c2 = p.names(p.offsets[r] + s, np.full(len(s), length))
             if len(s):
-                yield _batch("c1 c2 doc start", c1, c2, b.column("_id").to_numpy()[r], s)
+                yield _batch("c1 c2 doc start", c1, c2, b.column("doc").to_numpy()[r], b.column("start").to_numpy()[r] + s)
 
-    return rows.mapInArrow(run, "c1 long, c2 long, doc long, start long")
+    return strings.select("doc", "start", "bytes").mapInArrow(run, "c1 long, c2 long, doc long, start long")
 
 
 def _later_spans(strings: DataFrame, length: int, blocks: int) -> DataFrame:
     """doc, start, end of the repeats inside each block's collection."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, starts = (table.column(c).to_numpy() for c in ("doc", "start"))
+        table = table.sort_by("h")
+        h, docs, starts = (table.column(c).to_numpy() for c in ("h", "doc", "start"))
         data, offsets = text_bytes(table.column("bytes").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
-        string, offset = repeated_windows(data, offsets, docs, starts, length)
+        found, at = [], 0
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        while at < len(h):
+            # whole buckets, as many as fit
+            end = ends[max(np.searchsorted(offsets[ends], offsets[at] + BYTES, "right") - 1, np.searchsorted(ends, at, "right"))]
+            part = repeated_windows(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], docs[at:end], starts[at:end], length)
+            found.append((part[0] + at, part[1]))
+            at = end
+        string, offset = (np.concatenate(x) for x in zip(*found))
         d, s = docs[string], starts[string] + offset
         order = np.lexsort((s, d))
         d, s = d[order], s[order]
@@ -305,7 +365,7 @@ def _later_spans(strings: DataFrame, length: int, blocks: int) -> DataFrame:
         return pa.table({"doc": d[first], "start": s[first], "end": s[last] + length})
 
     block = F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")
-    return strings.select(block, "doc", "start", "bytes").groupBy("block").applyInArrow(run, "doc long, start long, end long")
+    return strings.select(block, "h", "doc", "start", "bytes").groupBy("block").applyInArrow(run, "doc long, start long, end long")
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -316,12 +376,11 @@ def _removal(rows: DataFrame, digest: bool) -> DataFrame:
     kind = _OUT.replace("kept binary", "kept_sha256 string") if digest else _OUT
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in _slices(batches):
-            texts = b.column("_text").cast(pa.large_string())
-            buf, offsets = text_bytes(texts)
             out = [[], [], [], []]
-            for i, spans in enumerate(b.column("spans").to_pylist()):
-                data = buf[offsets[i] : offsets[i + 1]]
+            for packed, spans in zip(b.column("_packed").to_pylist(), b.column("spans").to_pylist()):
+                data = np.frombuffer(unpack(packed), np.uint8)
                 gone = np.zeros(len(data) + 1, np.int32)
                 for s in spans or ():
                     gone[s["start"]] += 1
@@ -336,7 +395,7 @@ def _removal(rows: DataFrame, digest: bool) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"],
             )
 
-    return rows.select("doc_id", "_text", "spans").mapInArrow(run, kind)
+    return rows.select("doc_id", "_packed", "spans").mapInArrow(run, kind)
 
 
 def _maybe(docs: DataFrame, bits, wanted: bool = True) -> DataFrame:
@@ -350,15 +409,55 @@ def _maybe(docs: DataFrame, bits, wanted: bool = True) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _packed(docs: DataFrame, bits) -> DataFrame:
+    """doc_id, _id and the compressed text of the rows whose id the bitmap may hold."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(1).compress
+        for b in batches:
+            b = b.filter(pa.array(in_bitmap(bits.value, b.column("_id").to_numpy().view(np.uint64))))
+            texts = [pack((t or "").encode()) for t in b.column("_text").to_pylist()]
+            yield _batch("doc_id _id _packed", b.column("doc_id"), b.column("_id"), pa.array(texts, pa.binary()))
+
+    return docs.select("doc_id", "_id", "_text").mapInArrow(run, "doc_id long, _id long, _packed binary")
+
+
+def _untouched(docs: DataFrame, bits, digest: bool) -> DataFrame:
+    """The result rows of documents that surely have no spans."""
+    size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
+    zero = F.lit(0).cast("long")
+    text = F.encode(F.coalesce("_text", F.lit("")), "UTF-8")
+    kept = F.sha2(text, 256).alias("kept_sha256") if digest else text.alias("kept")
+    return _maybe(docs, bits, False).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), kept)
+
+
+def exact_copies(docs: DataFrame, length: int) -> DataFrame:
+    """doc, n: later documents with the text of an earlier one, of ``length`` bytes or more."""
+    text = F.coalesce("_text", F.lit(""))
+    n = F.octet_length(text).cast("long")
+    named = docs.select("_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), n.alias("n"))
+    named = named.filter(F.col("n") >= length)
+    first = named.groupBy("h1", "h2", "n").agg(F.min("_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    later = named.join(first, ["h1", "h2", "n"]).filter("_id > first")
+    # an id with several texts stays with the others
+    one = docs.select("_id").groupBy("_id").agg(F.count("*").alias("k")).filter("k = 1").select("_id")
+    return later.join(one, "_id", "left_semi").select(F.col("_id").alias("doc"), "n")
+
+
 def spans_of(docs: DataFrame, length: int) -> DataFrame:
     """doc, start, end: byte ranges covered by windows that occur earlier."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
+    again = materialize(exact_copies(docs, length), "suffix-copies")
+    maybe = send(bitmap_of(again, "doc"))
+    # surely no copies, and those of the rest that are none
+    rest = _maybe(docs, maybe).join(again.select(F.col("doc").alias("_id")), "_id", "left_anti")
+    docs = _maybe(docs, maybe, False).unionByName(materialize(rest, "suffix-rest"))
     counts = _minimizers(docs, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     bits = send(bitmap_of(counts, "h"))
     pieces = materialize(_marked(docs, length, bits), "suffix-pieces")
     contents = pieces.groupBy("c1", "c2").agg(
-        F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c"), F.max("h").alias("h"), F.max("size").alias("size"), F.max("own").alias("own")
+        F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c"), F.max("h").alias("h"), F.max("own").alias("own")
     )
     contents = materialize(contents, "suffix-contents")
     copies = (
@@ -368,18 +467,16 @@ def spans_of(docs: DataFrame, length: int) -> DataFrame:
     )
     buckets = contents.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("any"))
     buckets = buckets.filter("k > 1 or any").select("h", (F.col("k") > HOT).alias("hot"))
-    want = contents.join(buckets, "h").select("h", "hot", "size", "first.doc", "first.start")
+    want = contents.join(buckets, "h").select("first.doc", "first.start", "hot")
     want = materialize(want, "suffix-wanted")
     n = want.filter("not hot").count()
-    lists = want.groupBy("doc", "hot").agg(F.collect_list(F.struct("h", "start", "size")).alias("want"))
-    ids = send(bitmap_of(want.select("doc").distinct(), "doc"))
-    texts = _maybe(docs.select("_id", "_text"), ids)
-    chosen = texts.join(lists, texts["_id"] == lists["doc"]).drop("doc")
-    strings = _strings(chosen.filter("not hot"), length)
-    inside = _later_spans(strings, length, max(1, -(-n // BLOCK)))
-    out = copies.unionByName(inside)
+    places = send(bitmap_of(_named(want), "place"))
+    strings = _strings(docs, length, bits, places).join(want, ["doc", "start"])
+    inside = _later_spans(strings.filter("not hot"), length, max(1, -(-n // BLOCK)))
+    whole = again.select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    out = copies.unionByName(inside).unionByName(whole)
     if not want.filter("hot").isEmpty():
-        single = materialize(_windows(chosen.filter("hot"), length), "suffix-windows")
+        single = materialize(_windows(strings.filter("hot"), length), "suffix-windows")
         first = single.groupBy("c1", "c2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1")
         later = single.join(first, ["c1", "c2"]).filter(F.struct("doc", "start") != F.col("first"))
         out = out.unionByName(later.select("doc", "start", (F.col("start") + length).alias("end")))
@@ -406,11 +503,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = spans_of(rows, length)
     grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     bits = send(bitmap_of(spans.select("doc").distinct(), "doc"))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-    clean = _maybe(rows, bits, False).withColumn("spans", none)
-    touched = _maybe(rows, bits)
-    touched = touched.join(grouped, touched["_id"] == grouped["doc"], "left").drop("doc")
-    return _removal(clean.select("doc_id", "_text", "spans").unionByName(touched.select("doc_id", "_text", "spans")), digest)
+    touched = _packed(rows, bits)
+    touched = touched.join(grouped, touched["_id"] == grouped["doc"], "left")
+    return _untouched(rows, bits, digest).unionByName(_removal(touched, digest))
 
 
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
