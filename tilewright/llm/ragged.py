@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -17,32 +18,64 @@ def take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return flat[at]
 
 
+def portions(batch: pa.RecordBatch, column: str, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of a string column, one row at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(at, end - at)
+        at, done = end, int(ends[end - 1])
+
+
 class UnitCache:
-    """unit -> ids, for ``encode_many`` that encodes a list of units; bounded."""
+    """unit -> ids, for ``encode_many`` that encodes a list of units to ids as
+    32-bit numbers in bytes.
+
+    Holds two generations of at most ``limit`` units each: when the young one is
+    full it becomes the old one, from which units in use come back, so frequent
+    units stay and memory is bounded.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 400_000):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = 350_000):
+        self.encode_many, self.limit, self.young, self.old = encode_many, limit, {}, {}
 
-    def of(self, units: list[str]) -> list:
-        known = self.known
-        miss = [u for u in units if u not in known]
+    def of(self, units: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, units))
+        miss = [i for i, x in enumerate(found) if x is None]
         if miss:
-            if len(known) + len(miss) > self.limit:
-                known.clear()
-                miss = units
-            known.update(zip(miss, self.encode_many(miss)))
-        return [known[u] for u in units]
-
-    def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each row) for rows of units."""
-        rows = np.asarray(lists.offsets, dtype=np.int64)
-        codes = lists.flatten().dictionary_encode()
-        ids = self.of(codes.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.int32, int(size.sum()))
-        starts = np.cumsum(size) - size
-        c = np.asarray(codes.indices)
-        lengths = size[c] if len(c) else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        rows = rows - (rows[0] if len(rows) else 0)
-        return take(flat, starts[c] if len(c) else c, lengths), ends[rows[1:]] - ends[rows[:-1]]
+            if len(self.young) + len(miss) > self.limit:
+                self.young, self.old = {}, self.young
+            fresh = []
+            for i in miss:
+                found[i] = x = self.old.get(units[i])
+                if x is None:
+                    fresh.append(i)
+                else:
+                    self.young[units[i]] = x
+            names = [units[i] for i in fresh]
+            for i, u, ids in zip(fresh, names, self.encode_many(names)):
+                found[i] = self.young[u] = ids
+        return found
+
+    def of_all(self, units: list[str]) -> list[bytes]:
+        """Like ``of``, for units that repeat."""
+        found = dict.fromkeys(units)
+        found = dict(zip(found, self.of(list(found))))
+        return [found[u] for u in units]
+
+
+def encode_rows(lists: pa.ListArray, of: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each row) for rows of units; ``of`` gets each
+    distinct unit once."""
+    rows = np.asarray(lists.offsets, dtype=np.int64)
+    codes = lists.flatten().dictionary_encode()
+    ids = of(codes.dictionary.to_pylist())
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    starts = np.cumsum(size) - size
+    c = np.asarray(codes.indices)
+    lengths = size[c] if len(c) else np.zeros(0, np.int64)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    rows = rows - (rows[0] if len(rows) else 0)
+    return take(flat, starts[c] if len(c) else c, lengths), ends[rows[1:]] - ends[rows[:-1]]

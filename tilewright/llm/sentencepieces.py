@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.ragged import UnitCache, take
+from tilewright.llm.ragged import UnitCache, encode_rows, portions, take
 
 MARK = "▁"
 _PAIRS = 1 << 20
@@ -62,6 +64,9 @@ class PieceModel:
             self.out.append(out)
         self.longest = max(map(len, self.ids))
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        # what pieces begin with, without the whole pieces that none continues
+        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.floor = min(self.scores.values()) - 10.0
         self.apart: dict = {}
         sizes = np.array([len(b) for b in self.out], np.int64)
@@ -90,6 +95,16 @@ class PieceModel:
             self.apart[key] = found
         return found
 
+    def chunks(self, unit: str) -> list[str]:
+        """Parts that no piece can join: between them stands a pair of
+        characters that no piece holds, so all paths pass there."""
+        inside, cuts, before = self.inside, [], ""
+        for i, c in enumerate(unit):
+            if before and before + c not in inside:
+                cuts.append(i)
+            before = c
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
+
     def to_ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         if found is not None:
@@ -163,11 +178,39 @@ class Lattice:
         yield from self._emit(self.n)
 
 
+def whole_unit(model: PieceModel, unit: str) -> list[int]:
+    """The lattice over a BPE unit that fits the window: nothing settles before
+    its end, so boundaries are plain list places and partial pieces that no piece
+    continues are dropped at once."""
+    ids, begins, stays = model.ids, model.begins, model.stays
+    n = len(unit)
+    start, last = [0] * (n + 1), [None] * (n + 1)
+    for s in range(n):
+        before = last[s]
+        if s and before is None:
+            continue
+        e = s + 1
+        piece = unit[s]
+        while True:
+            if last[e] is None and (piece in ids or e == s + 1) and stays(before, piece):
+                start[e], last[e] = s, piece
+            e += 1
+            if e > n or piece not in begins:
+                break
+            piece = unit[s:e]
+    out, at = [], n
+    while at:
+        found = ids.get(last[at])
+        out.append((found,) if found is not None else model.to_ids(last[at]))
+        at = start[at]
+    return [i for x in reversed(out) for i in x]
+
+
 def encode_units(model: PieceModel, units: list[str]) -> list[list[int]]:
     out = []
     for u in units:
-        if u in model.ids and (model.unigram is False and model.stays(None, u)):
-            out.append([model.ids[u]])
+        if not model.unigram and len(u) <= 2 * model.longest:
+            out.append(whole_unit(model, u))
             continue
         lat = Lattice(model)
         pieces = [*lat.feed(u), *lat.close()]
@@ -183,7 +226,12 @@ class Codec:
 
     def __init__(self, model_file: str):
         self.model = PieceModel(model_file)
-        self.cache = UnitCache(lambda units: encode_units(self.model, units))
+        self.parts = UnitCache(lambda parts: (array("i", x).tobytes() for x in encode_units(self.model, parts)), 400_000)
+
+    def _units_of_parts(self, units: list[str]) -> list[bytes]:
+        parts = [self.model.chunks(u) for u in units]
+        ids = iter(self.parts.of_all([p for x in parts for p in x]))
+        return [b"".join(next(ids) for _ in x) for x in parts]
 
     def units(self, text: pa.StringArray) -> pa.ListArray:
         m = self.model
@@ -198,7 +246,7 @@ class Codec:
         return pa.array(rows, pa.list_(pa.string()))
 
     def encode(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.encode(self.units(text))
+        return encode_rows(self.units(text), self._units_of_parts)
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and their number for each row of ids."""
@@ -219,6 +267,12 @@ class Codec:
         return flat, np.diff(offsets)
 
 
+@cache
+def codec_of(model_file: str) -> Codec:
+    """One a Python worker, for all its tasks."""
+    return Codec(model_file)
+
+
 _CODED = "n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
@@ -233,11 +287,9 @@ def code(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        codec = codec_of(model_file)
         for whole in batches:
-            codec = codec or Codec(model_file)
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in portions(whole, "text"):
                 text = pc.fill_null(batch.column(1), "")
                 flat, n = codec.encode(text)
                 data, sizes = codec.decode(flat, n)

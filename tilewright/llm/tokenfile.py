@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.llm.common import materialize, shared_path
-from tilewright.llm.ragged import UnitCache
+from tilewright.llm.ragged import UnitCache, encode_rows, portions
 
 SEQUENCE = 1024
 ROWS = 256
@@ -125,16 +126,78 @@ class Shard:
             yield doc, start, (np.concatenate(parts) if len(parts) != 1 else parts[0]).astype("<u4")
 
 
-def _encoder(tokenizer_file: str) -> UnitCache:
-    import os
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_file)
-    cache = UnitCache(lambda units: [e.ids for e in tok.encode_batch(units, add_special_tokens=False)])
-    cache.vocabulary = tok.get_vocab_size()
-    return cache
+class WordEncoder:
+    """Encodes words with a lower-casing tokenizer whose words end in marked tokens.
+
+    A word of letters makes one pre-token, and a mark of ``MARKS`` after it one
+    more, so both are encoded apart, A-Z lowered.  Many words of letters are
+    encoded as one text and cut apart at the tokens that end a pre-token; a count
+    that does not come out, like any other word, goes word by word.
+    """
+
+    MARKS = frozenset(".,;:!?")
+    TEXT = 2000
+
+    def __init__(self, tokenizer_file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(tokenizer_file)
+        self.vocabulary = self.tok.get_vocab_size()
+        self.ends = np.zeros(self.vocabulary, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.letters = UnitCache(self._letters, 400_000)
+        self.marks = {m: self._single([m])[0] for m in self.MARKS}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [np.array(x, np.int32).tobytes() for x in self._ids(words)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), self.TEXT):
+            part = words[at : at + self.TEXT]
+            ids = np.array(self._ids([" ".join(part)])[0], np.int32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(part) or cut[-1] != len(ids):
+                out += self._single(part)
+                continue
+            data, cut = ids.tobytes(), (4 * cut).tolist()
+            out += [data[a:b] for a, b in zip([0, *cut], cut)]
+        return out
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(words)
+        plain, bases, ends, rest = [], [], [], []
+        for i, w in enumerate(words):
+            if w.isalpha():
+                end = ""
+            elif w[-1:] in self.MARKS and w[:-1].isalpha():
+                w, end = w[:-1], w[-1]
+            else:
+                rest.append(i)
+                continue
+            plain.append(i), ends.append(end), bases.append(w.lower() if w.isascii() else w.translate(_LOWER))
+        marks = self.marks | {"": b""}
+        for i, ids, end in zip(plain, self.letters.of_all(bases), ends):
+            out[i] = ids + marks[end]
+        for i, ids in zip(rest, self._single([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
+
+@cache
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    """One a Python worker, for all its tasks."""
+    return WordEncoder(tokenizer_file)
 
 
 def write_tokens(
@@ -152,20 +215,19 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer = cache = None
+        writer = units = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
-                cache = _encoder(tokenizer_file)
+                units = _encoder(tokenizer_file)
                 name = f"{path}/{uuid.uuid4().hex}"
-                writer = ShardWriter(name, np.uint16 if cache.vocabulary <= 1 << 16 else np.uint32)
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+                writer = ShardWriter(name, np.uint16 if units.vocabulary <= 1 << 16 else np.uint32)
+            for part in portions(batch, "text"):
                 text = pc.fill_null(part.column(1).cast(pa.large_string()), "").cast(pa.string())
                 text = pc.utf8_trim(text, " \t\n\x0b\x0c\r")
                 lists = pc.split_pattern_regex(text, r"[\x20\x09-\x0D]+")
-                ids, n = cache.encode(lists)
+                ids, n = encode_rows(lists, units)
                 ends = np.cumsum(n)
                 writer.add(part.column(0), np.insert(ids, ends, end_id), n + 1)
         if writer is not None:
