@@ -108,7 +108,7 @@ def judge(
     host_col: str = "source",
     line_limit: int = LINE_LIMIT,
     max_removed_percent: int = MAX_REMOVED_PERCENT,
-    keep: tuple[str, ...] = (),
+    carry: bool = False,
 ) -> DataFrame:
     """One row per input row with counts, ``base_failed`` and ``kept``.
 
@@ -120,13 +120,14 @@ def judge(
 
     Exact copies of a text count as one document, so copies alone never make a
     line frequent.  Null text: no words (base_failed).  Null host is a host of
-    its own.  Repeated rows are judged one by one.  Columns named in ``keep``
-    are carried along; others, whatever their names, are not touched.
+    its own.  Repeated rows are judged one by one.  With ``carry`` the input row
+    comes along as the struct ``row``; other columns are not read.
     """
     t = F.col(f"`{text_col}`")
     base = base_columns(t)
     h1, h2 = fingerprint(F.coalesce(t, F.lit("")))
     host = F.col(f"`{host_col}`")
+    row = ["row"] if carry else []
     x = (
         docs.select(
             F.monotonically_increasing_id().alias("_rid"),
@@ -135,10 +136,10 @@ def judge(
             h1.alias("_h1"),
             h2.alias("_h2"),
             *[c.alias(k) for k, c in base.items()],
-            *[F.col(f"`{c}`") for c in keep],
+            *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
         )
         .select(
-            "_rid", "doc_id", "_host", "_h1", "_h2", "word_chars", "n_symbols", *keep,
+            "_rid", "doc_id", "_host", "_h1", "_h2", "word_chars", "n_symbols", *row,
             F.col("_w.n").alias("n_words"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.dup").alias("n_dup_lines"),
             F.transform(
                 "_l.norm",
@@ -177,10 +178,15 @@ def judge(
     return x.drop("_lines", "_h1", "_h2", "_host").join(removed, "_rid", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         gone.alias("n_removed_words"), base_failed.alias("base_failed"),
-        (~base_failed & ~depleted).alias("kept"), *keep,
+        (~base_failed & ~depleted).alias("kept"), *row,
     )
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return judge(docs, carry=True).filter("kept").select("row.*")
+
+
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
     return judge(docs)
 
