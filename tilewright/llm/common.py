@@ -40,12 +40,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors.  The files stay until the folder is cleaned, since
-    the (lazy) result may still read them."""
+    survives lost executors.  Files that a (lazy) result may still read stay until
+    the folder is cleaned; others go by ``release``."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "stored_at", None)
+        if path:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

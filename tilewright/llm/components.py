@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize
+from tilewright.llm.common import materialize, release
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def components(links: DataFrame) -> DataFrame:
         # small star: lower neighbours and the node itself move to the lowest
         low = _lowest(large)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = now
         now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(done)
         if state == before:
             break
         before = state

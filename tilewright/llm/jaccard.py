@@ -7,11 +7,14 @@
    tokens, as many as it must have for a linked set to share one, in an order
    that puts common tokens last.  Sets near the boundary enter both.  ``x`` is
    where the estimated cost of both kinds is least.
-3. Candidates are verified exactly.  Lists are first tested against one leader
-   each; what the links found so far connect needs no further test, so a list
-   with thousands of near copies costs thousands of tests, not millions.  Then
-   all pairs of a list that are not yet connected are tested, so no link that
-   matters to the components is lost.
+3. Candidates are first held against counts of tokens in 256 cells, whose sum of
+   minima bounds the intersection from above, and then verified exactly on their
+   sets.  Lists are first tested against a few leaders each (first of all the set
+   with the most shared tokens, which near copies have the most in common with);
+   what the links found so far connect needs no further test, so a list with thousands of near copies
+   costs thousands of tests, not millions.  More rounds with other leaders follow
+   while many pairs are open.  Then all pairs of a list that are not yet
+   connected are tested, so no link that matters to the components is lost.
 
 The order needs a mark for common tokens.  It is a bitmap of fixed size
 (``BITS``), which is broadcast; any bitmap gives right results, a full one only
@@ -29,19 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize
+from tilewright.llm.common import materialize, release
 from tilewright.llm.components import components
 from tilewright.llm.shingles import mix, set_name, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 BITS = 1 << 25
-_SLICE = 1000
-_LOCAL = 3  # a token in so many sets of a slice is reported
-_COMMON = 64  # and common if reported so often in all
+_SLICE = 250
+_LOCAL = 3  # a token in so many sets of a batch is reported in any case
+_COMMON = 24  # and common if reported so often in all
 _SMALL = 64  # sizes in the cost histogram
 _MOST_LIGHT = 24
 _BLOCK_NODES = 1024
-_STARS = 4
+_BLOCK_SKETCHES = 16_384
+_STARS = 6
+_LEADERS = 3
+_OPEN = 2000  # open pairs a list row up to which all are tested at once
+_SHORT = 32  # lists up to this length are joined, longer ones tested in blocks
+_LIST_BLOCK = 512
+_CELLS = 256
 
 
 def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
@@ -116,21 +125,31 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
-def _statistics(docs: DataFrame, n: int) -> DataFrame:
-    """kind, value, number: tokens that are common in a slice, sizes, list lengths."""
+def _statistics(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """kind, value, number.  0: a token and in how many sets it was seen, for the
+    tokens that would lead a set if none were marked, and for all that are common
+    within a batch.  1: sizes.  2: list lengths."""
 
     def run(batches):
-        for b in _slices(batches):
-            sets = shingle_sets(b.column(1), n)
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            tokens, counts = np.unique(every, return_counts=True)
-            often = counts >= _LOCAL
-            sizes = np.bincount(np.minimum([len(s) for s in sets], _SMALL), minlength=_SMALL + 1)
-            small = [s for s in sets if 0 < len(s) < _SMALL]
-            found = counts[np.searchsorted(tokens, np.concatenate(small))] if small else np.zeros(0, np.int64)
-            values = np.concatenate((tokens[often].astype(np.int64), np.arange(_SMALL + 1), [0, 1]))
-            numbers = np.concatenate((counts[often], sizes, [int(found.sum()), len(found)]))
-            kinds = np.concatenate((np.zeros(often.sum(), np.int32), np.full(_SMALL + 1, 1, np.int32), [2, 2]))
+        for batch in batches:
+            lead, often, sizes, seen = [], [], np.zeros(_SMALL + 1, np.int64), np.zeros(2, np.int64)
+            for b in _slices([batch]):
+                sets = shingle_sets(b.column(1), n)
+                lead += [s[: prefix(len(s), percent)] for s in sets if len(s)]
+                tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                often.append((tokens[counts > 1], counts[counts > 1]))
+                sizes += np.bincount(np.minimum([len(s) for s in sets], _SMALL), minlength=_SMALL + 1)
+                small = [s for s in sets if 0 < len(s) < _SMALL]
+                if small:
+                    found = counts[np.searchsorted(tokens, np.concatenate(small))]
+                    seen += (found.sum(), len(found))
+            first, count = np.unique(np.concatenate(lead), return_counts=True) if lead else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            tokens, inverse = np.unique(np.concatenate([t for t, _ in often]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([c for _, c in often]), len(tokens)).astype(np.int64)
+            new = (total >= _LOCAL) & ~np.isin(tokens, first)
+            values = np.concatenate((first.astype(np.int64), tokens[new].astype(np.int64), np.arange(_SMALL + 1), [0, 1]))
+            numbers = np.concatenate((count, total[new], sizes, seen))
+            kinds = np.concatenate((np.zeros(len(first) + new.sum(), np.int32), np.full(_SMALL + 1, 1, np.int32), np.array([2, 2], np.int32)))
             yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(values, pa.int64()), pa.array(numbers, pa.int64())], names=["kind", "value", "number"])
 
     return docs.select("_id", "_text").mapInArrow(run, "kind int, value long, number long")
@@ -142,12 +161,25 @@ def _keyed(docs: DataFrame, n: int, percent: int, common, x: int) -> DataFrame:
             sets = shingle_sets(b.column(1), n)
             names = [set_name(s) for s in sets]
             keys = [keys_of(s, common.value, x, percent) for s in sets]
+            cells = [sketch(s) if len(k) else b"" for s, k in zip(sets, keys)]
             yield pa.record_batch(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64()), _lists(keys, pa.int64())],
-                names=["_id", "n", "h1", "h2", "keys"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64()), _lists(keys, pa.int64()), pa.array(cells, pa.binary())],
+                names=["_id", "n", "h1", "h2", "keys", "cells"],
             )
 
-    return docs.select("_id", "_text").mapInArrow(run, "_id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.select("_id", "_text").mapInArrow(run, "_id long, n long, h1 long, h2 long, keys array<long>, cells binary")
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens in each cell, 255 for that many or more."""
+    cells = np.bincount((tokens & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def bound(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of sets with these cells and sizes."""
+    least = np.minimum(a, b)
+    return np.where((least == 255).any(1), np.minimum(n, m), least.sum(1, dtype=np.int64))
 
 
 def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
@@ -165,12 +197,44 @@ def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(run, "node long, tokens binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """The linked ones of (u, v).  Pairs are dealt by the blocks of both nodes and
-    each set goes once to every block pair that needs it."""
+def _dealt(pairs: DataFrame, data: DataFrame, blocks: int):
+    """Pairs and the data of their nodes, grouped by the blocks of both nodes: each
+    node's data go once to every block pair that needs them."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    pairs = pairs.withColumn("k", F.struct(block("u").alias("a"), block("v").alias("b")))
-    need = pairs.select(F.col("k").alias("k2"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+    pairs = pairs.select("u", "v", F.struct(block("u").alias("a"), block("v").alias("b")).alias("k"))
+    need = pairs.select(F.col("k").alias("k2"), F.explode(F.array("u", "v")).alias("node")).distinct().join(data, "node")
+    return pairs.groupBy("k").cogroup(need.groupBy("k2"))
+
+
+def _picked(left: pa.Table, linked) -> pa.Table:
+    keep = pa.array(linked, pa.bool_())
+    return pa.table({"u": left.column("u").filter(keep), "v": left.column("v").filter(keep)})
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """The pairs (u, v) that the cells of their sets do not rule out."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["u", "v"])
+        # rows with one id may have several sets: those are left to the exact test
+        ids, first, times = np.unique(right.column("node").to_numpy(), return_index=True, return_counts=True)
+        n, many = right.column("n").to_numpy()[first], times > 1
+        cells = np.frombuffer(b"".join(right.column("cells").to_pylist()), np.uint8).reshape(-1, _CELLS)[first]
+        u, v = (np.searchsorted(ids, left.column(c).to_numpy()) for c in ("u", "v"))
+        ok = np.zeros(len(u), bool)
+        for at in range(0, len(u), 4096):
+            a, b = u[at : at + 4096], v[at : at + 4096]
+            top = bound(cells[a], cells[b], n[a], n[b])
+            ok[at : at + 4096] = 100 * top >= percent * (n[a] + n[b] - top)
+        ok |= many[u] | many[v]
+        return _picked(left, ok)
+
+    return _dealt(pairs, nodes, blocks).applyInArrow(run, "u long, v long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """The linked ones of (u, v)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known: dict[int, list[np.ndarray]] = {}
@@ -189,52 +253,112 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, blocks: int) -> Dat
                     common = int((high[at] == low).sum())
                     hit |= 100 * common >= percent * (len(a) + len(b) - common)
             linked.append(hit)
-        keep = pa.array(linked, pa.bool_())
-        return pa.table({"u": left.column("u").filter(keep), "v": left.column("v").filter(keep)})
+        return _picked(left, linked)
 
-    return pairs.groupBy("k").cogroup(need.groupBy("k2")).applyInArrow(run, "u long, v long")
+    return _dealt(pairs, sets, blocks).applyInArrow(run, "u long, v long")
 
 
 def _fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _connect(lists: DataFrame, sets: DataFrame, percent: int, nodes: int) -> DataFrame:
+def _least_first(a: str, b: str) -> list:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _long_lists(rows: DataFrame, nodes: DataFrame, percent: int, n_rows: int) -> DataFrame:
+    """Possible pairs (u, v) of different components in long lists (key, node,
+    component, size).  A list is cut into blocks of members; each pair of blocks
+    is one group, and lists of one block are grouped many at a time."""
+    cut = F.ceil(F.col("size") / _LIST_BLOCK).cast("int")
+    rows = rows.select("key", "node", "component", cut.alias("cut")).join(nodes.select("node", "n", "cells"), "node")
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("cut")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    lot = F.pmod(F.xxhash64("key"), F.lit(max(1, n_rows // 10_000)))
+    group = F.struct(
+        F.when(F.col("cut") == 1, lot).otherwise(F.col("key")).alias("k"), (F.col("cut") == 1).alias("lot"),
+        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+    ).alias("group")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key, node, comp, n, own = (table.column(c).to_numpy() for c in ("key", "node", "component", "n", "own"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, _CELLS)
+        us, vs = [], []
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            names, count = np.unique(comp[lo:hi], return_counts=True)
+            if len(names) == 1:
+                continue
+            blocks = own[lo:hi].min() != own[lo:hi].max()
+            # every row outside the largest component against all rows
+            for i in np.flatnonzero(comp[lo:hi] != names[count.argmax()]) + lo:
+                small, large = np.minimum(n[lo:hi], n[i]), np.maximum(n[lo:hi], n[i])
+                fits = (comp[lo:hi] != comp[i]) & (100 * small >= percent * large)
+                if blocks:
+                    fits &= own[lo:hi] != own[i]
+                at = np.flatnonzero(fits) + lo
+                top = bound(cells[at], cells[i], n[at], n[i])
+                at = at[100 * top >= percent * (n[at] + n[i] - top)]
+                us.append(np.minimum(node[at], node[i])), vs.append(np.maximum(node[at], node[i]))
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        pairs = np.unique(np.stack([u, v], 1), axis=0)
+        return pa.table({"u": pairs[:, 0].copy(), "v": pairs[:, 1].copy()})
+
+    return rows.select(group, "key", "node", "component", "n", "cells", "own").groupBy("group").applyInArrow(run, "u long, v long")
+
+
+def _connect(docs: DataFrame, lists: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """node, component for the nodes of ``lists`` (key, node, n) that have links."""
-    blocks = max(1, -(-nodes // _BLOCK_NODES))
-    links, tested = None, None
-    comp = None
-    lists = lists.withColumn("component", F.col("node"))
-    base = lists
-    for r in range(_STARS + 1):
+    spark = docs.sparkSession
+    n_lists, n_nodes = lists.count(), lists.select(F.approx_count_distinct("node")).first()[0]
+    sketch_blocks = max(1, -(-n_nodes // _BLOCK_SKETCHES))
+    links = tested = comp = None
+    weights = lists.groupBy("node").agg(F.count("*").alias("weight"))
+    base, last, r = lists.withColumn("component", F.col("node")), False, 0
+    while not last:
+        now = base if r else base.join(weights, "node")
         if comp is not None:
-            lists = base.drop("component").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            lists = materialize(lists, "jaccard-lists")
-        low = lists.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("o") if r else F.col("node").alias("o"), "node", "n", "component")).alias("lead"),
+            now = base.drop("component").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            now = materialize(now, "jaccard-lists")
+        lead = lambda o: F.min(F.struct(o.alias("o"), "node", "n", "component"))
+        orders = [F.xxhash64(F.lit(_LEADERS * r + i), "node") for i in range(_LEADERS)]
+        orders[0] = -F.col("weight") if r == 0 else orders[0]
+        heads = now.groupBy("key").agg(
+            F.array_distinct(F.array(*map(lead, orders))).alias("leads"), F.count("*").alias("size"),
             F.min("component").alias("c1"), F.max("component").alias("c2"),
-        ).filter("c1 <> c2")
-        open_lists = lists.join(low.select("key", "lead"), "key")
-        others = F.col("component") != F.col("lead.component")
-        if r == _STARS:
-            # what is left: every pair of a list that is not connected yet
-            left = open_lists.filter(others).select("key", "node", "n", "component")
-            right = lists.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+        ).filter("c1 <> c2").drop("c1", "c2")
+        open_rows = now.join(heads, "key")
+        first = F.get("leads", F.lit(0))["component"]
+        if r:
+            rows = open_rows.filter(F.col("component") != first).agg(F.sum("size")).first()[0] or 0
+            last = rows <= _OPEN * n_lists or r >= _STARS
+        if last:
+            short, long = open_rows.filter(F.col("size") <= _SHORT), open_rows.filter(F.col("size") > _SHORT)
+            left = short.filter(F.col("component") != first).select("key", "node", "n", "component")
+            right = short.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
             pairs = left.join(right, "key").filter("component <> component2").filter(_fits("n", "n2", percent))
-            pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+            pairs = pairs.select(*_least_first("node", "node2")).distinct()
         else:
-            pairs = open_lists.filter(others).filter(_fits("n", "lead.n", percent))
-            pairs = pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+            pairs = open_rows.select("node", "n", "component", F.explode("leads").alias("lead"))
+            pairs = pairs.filter(F.col("component") != F.col("lead.component")).filter(_fits("n", "lead.n", percent))
+            pairs = pairs.select(*_least_first("node", "lead.node")).distinct()
+        possible = _possible(materialize(pairs, "jaccard-pairs"), nodes, percent, sketch_blocks)
+        if last:
+            possible = possible.union(_long_lists(long, nodes, percent, n_lists))
         if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "jaccard-pairs")
-        if pairs.isEmpty():
-            if r == _STARS:
-                break
-            if r:
-                continue
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(_verify(pairs, sets, percent, blocks), "jaccard-links")
+            possible = possible.join(tested, ["u", "v"], "left_anti")
+        possible = materialize(possible.distinct(), "jaccard-possible")
+        tested = possible if tested is None else tested.union(possible)
+        r += 1
+        some = possible.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        n_some = some.count()
+        if not n_some:
+            continue
+        wanted = spark.sparkContext.broadcast(bitmap_of(some, "node"))
+        sets = materialize(_sets(docs, shingle, wanted), "jaccard-sets")
+        found = materialize(_verify(possible, sets.distinct(), percent, max(1, -(-n_some // _BLOCK_NODES))), "jaccard-links")
+        release(sets)
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
@@ -255,23 +379,24 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    stats = materialize(_statistics(docs, shingle), "jaccard-statistics")
-    totals = stats.filter("kind > 0").groupBy("kind", "value").agg(F.sum("number").alias("number")).collect()
+    stats = _statistics(docs, shingle, percent).groupBy("kind", "value").agg(F.sum("number").alias("number"))
+    stats = materialize(stats.filter(F.col("kind").isin(1, 2) | (F.col("number") >= _COMMON)), "jaccard-statistics")
+    totals = stats.filter("kind > 0").collect()  # at most _SMALL + 3 rows
     sizes = {r["value"]: r["number"] for r in totals if r["kind"] == 1 and 0 < r["value"] < _SMALL}
     seen = {r["value"]: r["number"] for r in totals if r["kind"] == 2}
     x = boundary(sizes, seen.get(0, 0) / max(1, seen.get(1, 0)), percent)
-    often = stats.filter("kind = 0").groupBy("value").agg(F.sum("number").alias("number")).filter(F.col("number") >= _COMMON)
-    common = spark.sparkContext.broadcast(bitmap_of(often, "value"))
+    common = spark.sparkContext.broadcast(bitmap_of(stats.filter("kind = 0"), "value"))
     keyed = materialize(_keyed(docs, shingle, percent, common, x), "jaccard-keys")
-    classes = keyed.filter("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("node"), F.max("n").alias("n"), F.any_value("keys").alias("keys"))
-    rows = classes.filter("node is not null").select("node", "n", F.explode("keys").alias("key"))
-    rows = rows.select("key", "node", "n")
+    classes = keyed.filter("n > 0").groupBy("h1", "h2").agg(
+        F.min("_id").alias("node"), F.max("n").alias("n"), F.any_value(F.struct("keys", "cells")).alias("s")
+    )
+    classes = materialize(classes.select("h1", "h2", "node", "n", "s.keys", "s.cells"), "jaccard-classes")
+    rows = classes.filter("node is not null").select(F.explode("keys").alias("key"), "node", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     lists = materialize(rows.join(shared, "key"), "jaccard-lists")
-    wanted = spark.sparkContext.broadcast(bitmap_of(lists.select("node").distinct(), "node"))
-    sets = materialize(_sets(docs, shingle, wanted), "jaccard-sets").distinct()
-    nodes = lists.select(F.approx_count_distinct("node")).first()[0]
-    comp = _connect(lists, sets, percent, nodes)
+    nodes = classes.filter("node is not null").select("node", "n", "cells")
+    comp = _connect(docs, lists, nodes, shingle, percent)
+    release(stats, lists)
     named = keyed.select("_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left")
     if comp is None:
         named = named.withColumn("component", F.col("node"))
