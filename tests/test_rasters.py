@@ -211,3 +211,19 @@ def test_viewport_arithmetic(spark):
     assert z(raster.pan_clamp(F.lit(90.0), F.lit(100.0), F.lit(40.0))) == 30.0 and z(raster.pan_clamp(F.lit(90.0), F.lit(30.0), F.lit(40.0))) == 0.0
     r = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("left", "top", "right", "bottom"))])
     assert tuple(z(raster.intersect(r(0, 0, 5, 5), r(3, 1, 9, 4)))) == (3, 1, 5, 4) and z(raster.intersect(r(0, 0, 1, 1), r(2, 2, 3, 3))) is None
+
+
+def test_baseline_images(spark, tmp_path):
+    """PNG by Spark's image source, in BGR order."""
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    px = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    raw = b"".join(b"\0" + r.tobytes() for r in px)
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"no picture")
+    (r,) = pixels.raster_images(spark, str(tmp_path)).collect()
+    assert (r.width, r.height, r.channels) == (3, 2, 3) and bytes(r.data) == px[..., ::-1].tobytes()
