@@ -227,3 +227,18 @@ def test_baseline_images(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no picture")
     (r,) = pixels.raster_images(spark, str(tmp_path)).collect()
     assert (r.width, r.height, r.channels) == (3, 2, 3) and bytes(r.data) == px[..., ::-1].tobytes()
+
+
+def test_planes_and_profiles(spark, tmp_path):
+    from tilewright.sources import catalog
+
+    rows = spark.createDataFrame([(1, 0, "R", 0, b"a"), (1, 1, "G", 0, b"b")], "asset_id long, plane int, role string, y int, row binary")
+    assert tiles.plane(rows, "G").first()["row"] == b"b"
+    with pytest.raises(Exception, match="no plane K"):
+        tiles.plane(rows, "K").collect()
+    docs = spark.createDataFrame([("a", "Rgb", b"x"), ("b", "Cmyk", None), ("c", "Rgb", b"")], "path string, mode string, icc binary")
+    src = lambda d: [r[0] for r in docs.orderBy("path").select(color.calibration_source(F.col("icc"), F.col("mode"), d)).collect()]
+    assert src(None) == ["embedded", "identity", "identity"] and src("/p.icc") == ["embedded", "default", "identity"]
+    assert [r.profile is None for r in color.profile_keys(docs).orderBy("path").collect()] == [False, True, True]
+    (tmp_path / "p.icc").write_bytes(b"x")
+    assert catalog.first_existing(["/no", str(tmp_path / "p.icc")]) == str(tmp_path / "p.icc") and catalog.first_existing([]) is None

@@ -100,3 +100,15 @@ def calibrations(samples: DataFrame) -> DataFrame:
     """asset_id, channel, curve from samples (asset_id, channel, k, v): built per
     asset from its whole grid and joined back by asset."""
     return lut_curve(lut_samples(samples, "asset_id", "channel"), "asset_id", "channel")
+
+
+def calibration_source(embedded: Column, mode: Column, default_profile: str | None = None) -> Column:
+    """Where a document's calibration comes from: its own profile, for CMYK the
+    given default one, else none (identity curves)."""
+    default = (mode == "Cmyk") & F.lit(default_profile is not None)
+    return F.when(embedded.isNotNull() & (F.octet_length(embedded) > 0), "embedded").when(default, "default").otherwise("identity")
+
+
+def profile_keys(documents: DataFrame) -> DataFrame:
+    """path, profile (upper-case SHA-256 of the embedded bytes, null without)."""
+    return documents.select("path", F.when(F.octet_length("icc") > 0, F.upper(F.sha2("icc", 256))).alias("profile"))

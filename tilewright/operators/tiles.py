@@ -104,3 +104,10 @@ def completion(tiles: DataFrame, totals: DataFrame) -> DataFrame:
     ready = tiles.groupBy("asset_id").agg(F.count_if(F.col("data").isNotNull()).alias("ready"))
     out = totals.join(ready, "asset_id", "left").withColumn("ready", F.coalesce("ready", F.lit(0)))
     return out.withColumn("complete", F.col("ready") == F.col("total"))
+
+
+def plane(plane_rows: DataFrame, role: str) -> DataFrame:
+    """The scanlines of one role; a raster without it fails the query."""
+    has = plane_rows.groupBy("asset_id").agg(F.max((F.col("role") == role).cast("int")).alias("_has"))
+    checked = plane_rows.join(has, "asset_id").withColumn("_ok", F.when(F.col("_has") == 0, F.raise_error(F.lit(f"no plane {role}")).cast("int")).otherwise(1))
+    return checked.filter((F.col("_ok") == 1) & (F.col("role") == role)).drop("_has", "_ok")

@@ -163,3 +163,16 @@ def scan(spark: SparkSession, roots: list[str], **options) -> DataFrame:
     for k, v in options.items():
         reader = reader.option(k, json.dumps(v) if isinstance(v, list) else str(v).lower())
     return reader.load()
+
+
+def first_existing(candidates: list[str]) -> str | None:
+    """The first candidate that is a file, such as a default colour profile."""
+    return next((p for p in candidates if os.path.isfile(p)), None)
+
+
+def counted(df: DataFrame, name: str = "catalogue") -> DataFrame:
+    """``df`` (with supported) that counts its rows as they pass: metrics
+    ``enumerated`` and ``supported`` of an observation."""
+    from pyspark.sql import functions as F
+
+    return df.observe(name, F.count(F.lit(1)).alias("enumerated"), F.count_if(F.col("supported")).alias("supported"))
