@@ -109,5 +109,7 @@ def completion(tiles: DataFrame, totals: DataFrame) -> DataFrame:
 def plane(plane_rows: DataFrame, role: str) -> DataFrame:
     """The scanlines of one role; a raster without it fails the query."""
     has = plane_rows.groupBy("asset_id").agg(F.max((F.col("role") == role).cast("int")).alias("_has"))
-    checked = plane_rows.join(has, "asset_id").withColumn("_ok", F.when(F.col("_has") == 0, F.raise_error(F.lit(f"no plane {role}")).cast("int")).otherwise(1))
-    return checked.filter((F.col("_ok") == 1) & (F.col("role") == role)).drop("_has", "_ok")
+    fail = F.raise_error(F.lit(f"no plane {role}"))
+    kinds = dict(plane_rows.dtypes)
+    missing = has.filter("_has = 0").select(*[fail.cast(kinds[c]).alias(c) for c in plane_rows.columns])
+    return plane_rows.filter(F.col("role") == role).unionByName(missing)
