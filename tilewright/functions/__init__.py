@@ -1 +1 @@
-"""tilewright: asset catalogues and raster tables on Spark DataFrames."""
+"""Column functions; none of them starts Python."""

@@ -1 +1 @@
-"""tilewright: asset catalogues and raster tables on Spark DataFrames."""
+"""DataFrame operators: collections, timing, tiles, surfaces, colour, metadata, jobs."""

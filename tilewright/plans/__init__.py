@@ -1 +1 @@
-"""tilewright: asset catalogues and raster tables on Spark DataFrames."""
+"""From dropped paths to collections, and the registry of named queries."""

@@ -1 +1 @@
-"""tilewright: asset catalogues and raster tables on Spark DataFrames."""
+"""Sources: file catalogue, layered documents, pixels, metadata tags."""

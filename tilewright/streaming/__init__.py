@@ -1 +1 @@
-"""tilewright: asset catalogues and raster tables on Spark DataFrames."""
+"""Structured Streaming ingest."""
