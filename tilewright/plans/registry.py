@@ -152,11 +152,11 @@ def r_format_lookup(spark, sf):
     return formats.with_decoder(formats.with_format(e, F.col("e"))).select("page_id", "extension", "format", "supported", "decoder")
 
 
-@query(f"with {_EVENTS} select event_id, fmt format, bucket, avg(value) over (partition by fmt,bucket order by event_id rows between 20 preceding and 1 preceding) estimate from k")
+@query(f"with {_EVENTS} select event_id, fmt format, bucket, round(avg(value) over (partition by fmt,bucket order by event_id rows between 20 preceding and 1 preceding), 6) estimate from k")
 def r_load_estimate(spark, sf):
     """Moving average of the up to 20 samples before."""
     e = _events(spark, sf)
-    return timing.running_estimates(e, order="event_id", ms="value").select("event_id", "format", "bucket", F.col("estimate"))
+    return timing.running_estimates(e, order="event_id", ms="value").select("event_id", "format", "bucket", F.round("estimate", 6).alias("estimate"))
 
 
 @query(
@@ -278,13 +278,15 @@ def r_viewport(spark, sf):
 @query(
     """with t as (select p_partkey id, p_size*37.0 w, p_size*23.0 h, (50+p_size*7)::double z from part),
  v as (select *, (800/2.0-w*z/100)/2+10/2.0 l, (600/2.0-h*z/100)/2-4/2.0 t from t)
-select id asset_id, greatest(0,-l/(z/100)) "left", greatest(0,-t/(z/100)) top, least(w,(800/2.0-l)/(z/100)) "right", least(h,(600/2.0-t)/(z/100)) bottom from v"""
+select id asset_id, round(greatest(0,-l/(z/100)),6) "left", round(greatest(0,-t/(z/100)),6) top, round(least(w,(800/2.0-l)/(z/100)),6) "right",
+  round(least(h,(600/2.0-t)/(z/100)),6) bottom from v"""
 )
 def r_visible_rect(spark, sf):
     """Visible part of a centred image in its own coordinates."""
     p = spark.read.parquet(f"{sf}/part.parquet")
     r = raster.visible_rect(F.col("p_size") * 37.0, F.col("p_size") * 23.0, F.lit(800), F.lit(600), F.lit(2.0), (50 + F.col("p_size") * 7).cast("double"), F.lit(10), F.lit(-4))
-    return p.select(F.col("p_partkey").alias("asset_id"), r.alias("r")).select("asset_id", "r.*")
+    sides = ("left", "top", "right", "bottom")
+    return p.select(F.col("p_partkey").alias("asset_id"), r.alias("r")).select("asset_id", *[F.round(F.col("r")[s], 6).alias(s) for s in sides])
 
 
 @query(
