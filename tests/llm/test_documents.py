@@ -188,6 +188,12 @@ def test_jaccard_null_id_and_counts(docs):
     assert sorted((r.doc_id, r.n_shingles) for r in out if r.doc_id) == sorted((r[0], len(shingles(r[1], 4))) for r in texts() if r[0])
 
 
+def test_representatives(docs):
+    kept = jaccard.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted([5, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, None, 20, 20, 21], key=str)
+
+
 def test_size_aware_boundary():
     assert jaccard.subset_sizes(7, 12, 85) == [6, 7]
     assert jaccard.boundary({3: 1000, 400: 10}, 50.0, 85) >= 3

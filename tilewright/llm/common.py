@@ -38,6 +38,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that ``materialize`` has written in this process and nobody has released.
+MADE: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives lost executors.  Files that a (lazy) result may still read stay until
@@ -47,17 +51,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    MADE.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for t in tables:
         path = getattr(t, "stored_at", None)
         if path:
-            spark = t.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(t.sparkSession, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -274,7 +274,7 @@ def _long_lists(rows: DataFrame, nodes: DataFrame, percent: int, n_rows: int) ->
     rows = rows.select("key", "node", "component", cut.alias("cut")).join(nodes.select("node", "n", "cells"), "node")
     own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("cut")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    lot = F.pmod(F.xxhash64("key"), F.lit(max(1, n_rows // 10_000)))
+    lot = F.pmod(F.xxhash64("key"), F.lit(max(1, n_rows // 2000)))
     group = F.struct(
         F.when(F.col("cut") == 1, lot).otherwise(F.col("key")).alias("k"), (F.col("cut") == 1).alias("lot"),
         F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
@@ -414,6 +414,7 @@ def op2_ngram_jaccard(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, the one with the smallest id, of each component."""
-    ids = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_keep"], "left_semi")
+    """``docs`` with one document, the one with the smallest id, of each component.
+    Rows without an id stay if one of them stands for itself."""
+    ids = join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.ragged import UnitCache, encode_rows, portions, take
 
 MARK = "▁"
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
+_PORTION = 3 << 20  # bytes of text coded at a time
 
 
 class PieceModel:
@@ -226,7 +227,7 @@ class Codec:
 
     def __init__(self, model_file: str):
         self.model = PieceModel(model_file)
-        self.parts = UnitCache(lambda parts: (array("i", x).tobytes() for x in encode_units(self.model, parts)), 400_000)
+        self.parts = UnitCache(lambda parts: (array("i", x).tobytes() for x in encode_units(self.model, parts)), 250_000)
 
     def _units_of_parts(self, units: list[str]) -> list[bytes]:
         parts = [self.model.chunks(u) for u in units]
@@ -289,7 +290,7 @@ def code(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_file)
         for whole in batches:
-            for batch in portions(whole, "text"):
+            for batch in portions(whole, "text", _PORTION):
                 text = pc.fill_null(batch.column(1), "")
                 flat, n = codec.encode(text)
                 data, sizes = codec.decode(flat, n)
