@@ -30,7 +30,10 @@ def _lines(text: Column) -> Column:
 def _repeated(rows: DataFrame) -> DataFrame:
     """Suffixes whose (n1, n2) name another suffix shares, with the name's first position."""
     names = rows.groupBy("n1", "n2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "i")).alias("first"))
-    return rows.join(names.filter("c > 1").drop("c"), ["n1", "n2"])
+    # stored, so that the join has an exchange of its own on both sides and a very
+    # common line can be split
+    names = materialize(names.filter("c > 1").drop("c"), "line-names")
+    return rows.join(names, ["n1", "n2"])
 
 
 def suffix_intervals(lines: DataFrame, length: int) -> DataFrame:
