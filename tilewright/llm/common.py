@@ -38,6 +38,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of a batch that goes to Python from now on (session setting): with
+    the default of 10,000 a batch of very long texts does not fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 #: Tables that ``materialize`` has written in this process and nobody has released.
 MADE: list[str] = []
 

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize
+from tilewright.llm.common import arrow_rows, materialize, release
 from tilewright.llm.jaccard import bitmap_of, in_bitmap
 from tilewright.llm.ragged import take
 from tilewright.llm.shingles import mix, powers, text_bytes
@@ -52,6 +52,7 @@ BYTES = 60_000
 HOT = 16_384
 _RUN = 120  # windows of a piece at most
 _SLICE = 64
+_COUNTED = 400_000  # minimizers counted before they are passed on
 _NULL_ID = -(1 << 63)
 
 
@@ -255,8 +256,13 @@ class Pieces:
         return mix(a + size.astype(np.uint64)).view(np.int64), mix(b ^ np.uint64(0x77)).view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], copies=None) -> Iterator[pa.RecordBatch]:
+    """Small slices; with ``copies`` without the rows that may be exact copies,
+    unless they are known to be none (``_sure``)."""
     for b in batches:
+        if copies is not None:
+            may = in_bitmap(copies.value, b.column(0).to_numpy().view(np.uint64))
+            b = b.filter(pa.array(b.column(2).to_numpy(zero_copy_only=False) | ~may))
         for at in range(0, b.num_rows, _SLICE):
             yield b.slice(at, _SLICE)
 
@@ -265,21 +271,32 @@ def _batch(names: str, *cols) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names.split())
 
 
-def _minimizers(docs: DataFrame, length: int) -> DataFrame:
+def _minimizers(docs: DataFrame, copies, length: int) -> DataFrame:
+    """h, n: how often each minimizer occurs, counted over some thousand texts at a time."""
+
     def run(batches):
-        for b in _slices(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def counted():
+            found, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return _batch("h n", found.view(np.int64), np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64))
+
+        for b in _slices(batches, copies):
             p = Pieces(b.column(1), length)
             if len(p.row):
-                found, inverse = np.unique(p.least, return_inverse=True)
-                n = np.bincount(inverse, p.occurrences(np.arange(len(p.row)))).astype(np.int64)
-                yield _batch("h n", found.view(np.int64), n)
+                held.append((p.least, p.occurrences(np.arange(len(p.row)))))
+            if sum(len(h) for h, _ in held) > _COUNTED:
+                yield counted()
+                held.clear()
+        if held:
+            yield counted()
 
-    return docs.select("_id", "_text").mapInArrow(run, "h long, n long")
+    return docs.select("_id", "_text", "_sure").mapInArrow(run, "h long, n long")
 
 
-def _marked(docs: DataFrame, length: int, bits) -> DataFrame:
+def _marked(docs: DataFrame, copies, length: int, bits) -> DataFrame:
     def run(batches):
-        for b in _slices(batches):
+        for b in _slices(batches, copies):
             p = Pieces(b.column(1), length)
             which = np.flatnonzero(in_bitmap(bits.value, p.least))
             if len(which):
@@ -288,7 +305,7 @@ def _marked(docs: DataFrame, length: int, bits) -> DataFrame:
                 own = p.occurrences(which) > 1
                 yield _batch("h c1 c2 doc start size own", p.least[which].view(np.int64), c1, c2, ids, p.start[which], p.size[which].astype(np.int32), own)
 
-    return docs.select("_id", "_text").mapInArrow(run, "h long, c1 long, c2 long, doc long, start long, size int, own boolean")
+    return docs.select("_id", "_text", "_sure").mapInArrow(run, "h long, c1 long, c2 long, doc long, start long, size int, own boolean")
 
 
 def place_name(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -296,32 +313,39 @@ def place_name(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """The ``place`` names of (doc, start)."""
+    """The two bits of each (doc, start)."""
 
     def run(batches):
         for b in batches:
-            yield _batch("place", place_name(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))
+            names = place_name(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield _batch("place", np.concatenate((names, names >> np.uint64(32))).view(np.int64))
 
     return rows.select("doc", "start").mapInArrow(run, "place long")
 
 
-def _strings(docs: DataFrame, length: int, bits, places) -> DataFrame:
-    """h, doc, start, bytes of the marked pieces whose place may be wanted."""
+def in_both(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the two bits of each name are set."""
+    return in_bitmap(bits, names) & in_bitmap(bits, names >> np.uint64(32))
+
+
+def _strings(docs: DataFrame, copies, length: int, bits, places, hot) -> DataFrame:
+    """h, doc, start, bytes, hot of the marked pieces whose place may be wanted.
+    One that is not wanted only makes its bucket larger."""
 
     def run(batches):
-        for b in _slices(batches):
+        for b in _slices(batches, copies):
             p = Pieces(b.column(1), length)
             which = np.flatnonzero(in_bitmap(bits.value, p.least))
             ids = b.column(0).to_numpy()[p.row[which]]
-            keep = in_bitmap(places.value, place_name(ids, p.start[which]))
+            keep = in_both(places.value, place_name(ids, p.start[which]))
             which, ids = which[keep], ids[keep]
             if len(which):
                 cut = np.concatenate(([0], np.cumsum(p.size[which]))).astype(np.int32)
                 data = take(p.buf, p.first[which], p.size[which])
                 strings = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(cut), pa.py_buffer(data)])
-                yield _batch("h doc start bytes", p.least[which].view(np.int64), ids, p.start[which], strings)
+                yield _batch("h doc start bytes hot", p.least[which].view(np.int64), ids, p.start[which], strings, in_bitmap(hot.value, p.least[which]))
 
-    return docs.select("_id", "_text").mapInArrow(run, "h long, doc long, start long, bytes binary")
+    return docs.select("_id", "_text", "_sure").mapInArrow(run, "h long, doc long, start long, bytes binary, hot boolean")
 
 
 def _windows(strings: DataFrame, length: int) -> DataFrame:
@@ -372,14 +396,18 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _removal(rows: DataFrame, digest: bool) -> DataFrame:
-    """Cut the ``spans`` (array of start, end; or null) out of each text."""
+    """Cut the ``spans`` (array of start, end; or null) out of each packed text."""
     kind = _OUT.replace("kept binary", "kept_sha256 string") if digest else _OUT
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in _slices(batches):
             out = [[], [], [], []]
-            for packed, spans in zip(b.column("_packed").to_pylist(), b.column("spans").to_pylist()):
+            for packed, done, n, spans in zip(*(b.column(c).to_pylist() for c in ("_packed", "_done", "n_bytes", "spans"))):
+                if packed is None:
+                    for column, v in zip(out, (n, 0, 0, done)):
+                        column.append(v)
+                    continue
                 data = np.frombuffer(unpack(packed), np.uint8)
                 gone = np.zeros(len(data) + 1, np.int32)
                 for s in spans or ():
@@ -395,7 +423,7 @@ def _removal(rows: DataFrame, digest: bool) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"],
             )
 
-    return rows.select("doc_id", "_packed", "spans").mapInArrow(run, kind)
+    return rows.select("doc_id", "_packed", "_done", "n_bytes", "spans").mapInArrow(run, kind)
 
 
 def _maybe(docs: DataFrame, bits, wanted: bool = True) -> DataFrame:
@@ -409,26 +437,21 @@ def _maybe(docs: DataFrame, bits, wanted: bool = True) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _packed(docs: DataFrame, bits) -> DataFrame:
-    """doc_id, _id and the compressed text of the rows whose id the bitmap may hold."""
+def _packed(docs: DataFrame, bits, digest: bool) -> DataFrame:
+    """doc_id, _id, n_bytes, and the compressed text of the rows that may have
+    spans; with ``digest`` the others have their digest instead."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(1).compress
+        pack = zstandard.ZstdCompressor(3).compress
         for b in batches:
-            b = b.filter(pa.array(in_bitmap(bits.value, b.column("_id").to_numpy().view(np.uint64))))
-            texts = [pack((t or "").encode()) for t in b.column("_text").to_pylist()]
-            yield _batch("doc_id _id _packed", b.column("doc_id"), b.column("_id"), pa.array(texts, pa.binary()))
-
-    return docs.select("doc_id", "_id", "_text").mapInArrow(run, "doc_id long, _id long, _packed binary")
-
+            may = in_bitmap(bits.value, b.column("_id").to_numpy().view(np.uint64))
+            texts = [(t or "").encode() for t in b.column("_text").to_pylist()]
+            packed = [pack(t) if m or not digest else None for t, m in zip(texts, may)]
+            done = [None if m or not digest else hashlib.sha256(t).hexdigest() for t, m in zip(texts, may)]
+            size = pa.array([len(t) for t in texts], pa.int64())
+            yield _batch("doc_id _id n_bytes _packed _done", b.column("doc_id"), b.column("_id"), size, pa.array(packed, pa.binary()), pa.array(done, pa.string()))
 
-def _untouched(docs: DataFrame, bits, digest: bool) -> DataFrame:
-    """The result rows of documents that surely have no spans."""
-    size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
-    zero = F.lit(0).cast("long")
-    text = F.encode(F.coalesce("_text", F.lit("")), "UTF-8")
-    kept = F.sha2(text, 256).alias("kept_sha256") if digest else text.alias("kept")
-    return _maybe(docs, bits, False).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), kept)
+    return docs.select("doc_id", "_id", "_text").mapInArrow(run, "doc_id long, _id long, n_bytes long, _packed binary, _done string")
 
 
 def exact_copies(docs: DataFrame, length: int) -> DataFrame:
@@ -450,12 +473,13 @@ def spans_of(docs: DataFrame, length: int) -> DataFrame:
     send = spark.sparkContext.broadcast
     again = materialize(exact_copies(docs, length), "suffix-copies")
     maybe = send(bitmap_of(again, "doc"))
-    # surely no copies, and those of the rest that are none
+    # what may be a copy is joined with the copies; all else surely is none
     rest = _maybe(docs, maybe).join(again.select(F.col("doc").alias("_id")), "_id", "left_anti")
-    docs = _maybe(docs, maybe, False).unionByName(materialize(rest, "suffix-rest"))
-    counts = _minimizers(docs, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    rest = materialize(rest, "suffix-rest")
+    docs = docs.withColumn("_sure", F.lit(False)).unionByName(rest.withColumn("_sure", F.lit(True)))
+    counts = _minimizers(docs, maybe, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     bits = send(bitmap_of(counts, "h"))
-    pieces = materialize(_marked(docs, length, bits), "suffix-pieces")
+    pieces = materialize(_marked(docs, maybe, length, bits), "suffix-pieces")
     contents = pieces.groupBy("c1", "c2").agg(
         F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c"), F.max("h").alias("h"), F.max("own").alias("own")
     )
@@ -467,11 +491,12 @@ def spans_of(docs: DataFrame, length: int) -> DataFrame:
     )
     buckets = contents.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("any"))
     buckets = buckets.filter("k > 1 or any").select("h", (F.col("k") > HOT).alias("hot"))
-    want = contents.join(buckets, "h").select("first.doc", "first.start", "hot")
+    want = contents.join(buckets, "h").select("first.doc", "first.start", "h", "hot")
     want = materialize(want, "suffix-wanted")
     n = want.filter("not hot").count()
     places = send(bitmap_of(_named(want), "place"))
-    strings = _strings(docs, length, bits, places).join(want, ["doc", "start"])
+    hot = want.filter("hot").select("h").distinct()
+    strings = _strings(docs, maybe, length, bits, places, send(bitmap_of(hot, "h")))
     inside = _later_spans(strings.filter("not hot"), length, max(1, -(-n // BLOCK)))
     whole = again.select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     out = copies.unionByName(inside).unionByName(whole)
@@ -480,7 +505,9 @@ def spans_of(docs: DataFrame, length: int) -> DataFrame:
         first = single.groupBy("c1", "c2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1")
         later = single.join(first, ["c1", "c2"]).filter(F.struct("doc", "start") != F.col("first"))
         out = out.unionByName(later.select("doc", "start", (F.col("start") + length).alias("end")))
-    return materialize(out, "suffix-spans")
+    out = materialize(out, "suffix-spans")
+    release(again, rest, pieces, contents, want)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -494,6 +521,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     so repeated rows keep their text.  Texts are never cut; extra columns are not
     read.
     """
+    arrow_rows(docs.sparkSession, 1000)
     send = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -503,9 +531,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = spans_of(rows, length)
     grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     bits = send(bitmap_of(spans.select("doc").distinct(), "doc"))
-    touched = _packed(rows, bits)
-    touched = touched.join(grouped, touched["_id"] == grouped["doc"], "left")
-    return _untouched(rows, bits, digest).unionByName(_removal(touched, digest))
+    texts = _packed(rows, bits, digest)
+    return _removal(texts.join(grouped, texts["_id"] == grouped["doc"], "left"), digest)
 
 
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
