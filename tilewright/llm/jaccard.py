@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize, release
+from tilewright.llm.common import arrow_rows, materialize, release
 from tilewright.llm.components import components
 from tilewright.llm.shingles import mix, set_name, shingle_sets
 
@@ -378,6 +378,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     cut; extra columns are not read.
     """
     spark: SparkSession = docs.sparkSession
+    arrow_rows(spark, 1000)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     stats = _statistics(docs, shingle, percent).groupBy("kind", "value").agg(F.sum("number").alias("number"))
     stats = materialize(stats.filter(F.col("kind").isin(1, 2) | (F.col("number") >= _COMMON)), "jaccard-statistics")

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import arrow_rows
 from tilewright.llm.ragged import UnitCache, encode_rows, portions, take
 
 MARK = "▁"
@@ -310,6 +311,7 @@ def code(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col:
                     names.append("ids")
                 yield pa.record_batch(cols, names=names)
 
+    arrow_rows(docs.sparkSession, 1000)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + _CODED + (", ids array<int>" if ids else ""))
 

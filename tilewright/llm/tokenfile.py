@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.llm.common import materialize, shared_path
+from tilewright.llm.common import arrow_rows, materialize, shared_path
 from tilewright.llm.ragged import UnitCache, encode_rows, portions
 
 SEQUENCE = 1024
@@ -235,6 +235,7 @@ def write_tokens(
             row = (TaskContext.get().partitionId(), name, writer.n_docs, writer.n_tokens)
             yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "path", "n_docs", "n_tokens"])
 
+    arrow_rows(docs.sparkSession, 4000)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     h = F.xxhash64("text")
     rows = rows.repartitionByRange(F.col("doc_id"), h).sortWithinPartitions(F.col("doc_id"), h, "text")
