@@ -140,6 +140,24 @@ def test_line_dedup_text(docs):
     assert out[20].n_removed == 0
 
 
+def test_long_single_lines(spark):
+    """A long line alone goes where it was before, also from texts of one line; short lines stay."""
+    long, other, short = passage(31, 50), passage(32, 60), passage(33, 49)
+    data = [
+        (1, f"head a\n{long}\nfoot a\n{short}"),
+        (2, f"head b\n {long} \n\nfoot b\n{short}\nlast"),
+        (3, long),
+        (4, other),
+        (5, f"x\n{other}\ny\n{other}"),
+        (6, short),
+    ]
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in data], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.remove_line_runs(df).collect()}
+    want = dict(data) | {2: f"head b\n\nfoot b\n{short}\nlast", 5: "x\ny"}
+    del want[3]  # nothing is left
+    assert got == {d: (t, len(t)) for d, t in want.items()}
+
+
 def shingles(t, n):
     ws = words((t or "").translate(LOWER))
     if not ws:

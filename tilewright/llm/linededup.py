@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import fingerprint, let, materialize, strip
+from tilewright.llm.common import fingerprint, let, materialize, n_words, strip
 
 MIN_LINES = 2
+#: From so many words on, a single repeated line counts as a run by its content.
+LONG_WORDS = 50
 
 
 def _lines(text: Column) -> Column:
@@ -54,14 +56,20 @@ def suffix_intervals(lines: DataFrame, length: int) -> DataFrame:
 
 
 def dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_lines: int = MIN_LINES,
+    long_words: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` (``row``) with ``kept_text`` and counts of what was deleted.
 
     A line goes if it lies in a run of ``min_lines`` lines that also starts
-    earlier (smaller id, or same document and earlier line).  Everything is
-    judged on the input.  Null text: no lines, kept_text null.  Texts with fewer
-    lines than ``min_lines`` stay.  Rows with the same id tie: their lines count
+    earlier (smaller id, or same document and earlier line), or, with
+    ``long_words``, if the line alone has that many words and stands earlier.
+    Everything is judged on the input.  Null text: no lines, kept_text null.
+    Texts with fewer lines than ``min_lines`` and no such long line stay.  Rows with the same id tie: their lines count
     as one occurrence, so repeated rows do not delete each other.  Long texts
     are never cut.  Extra columns stay inside ``row``.
     """
@@ -77,43 +85,50 @@ def dedup(
     seq = F.filter(F.transform(_lines(text), lambda x: strip(x)), lambda x: x != "")
     n1, n2 = fingerprint(F.col("line"))
     lines = ids.select(F.col("_rid").alias("rid"), F.col("d").alias("doc"), seq.alias("seq"))
-    lines = lines.filter(F.size("seq") >= min_lines).select("rid", "doc", F.posexplode("seq").alias("i", "line"))
-    lines = materialize(lines.select("rid", "doc", "i", n1.alias("n1"), n2.alias("n2")), "line-ids")
-    later = suffix_intervals(lines, min_lines).filter(F.struct("doc", "i") > F.col("first"))
-    gone = later.groupBy("rid").agg(F.sort_array(F.collect_set("i")).alias("starts"))
+    takes_part, long = F.size("seq") >= min_lines, []
+    if long_words is not None:
+        # n words have 2 n - 1 characters or more: most lines are not split
+        wordy = lambda x: (F.length(x) >= 2 * long_words - 1) & (n_words(x) >= long_words)
+        takes_part, long = takes_part | F.exists("seq", wordy), [wordy(F.col("line")).alias("long")]
+    lines = lines.filter(takes_part).select("rid", "doc", F.posexplode("seq").alias("i", "line"))
+    lines = materialize(lines.select("rid", "doc", "i", n1.alias("n1"), n2.alias("n2"), *long), "line-ids")
+    is_later = F.struct("doc", "i") > F.col("first")
+    later = suffix_intervals(lines.drop("long"), min_lines).filter(is_later).select("rid", "i", F.lit(min_lines).alias("n"))
+    if long:
+        alone = suffix_intervals(lines.filter("long").drop("long"), 1).filter(is_later)
+        later = later.unionByName(alone.select("rid", "i", F.lit(1).alias("n")))
+    gone = later.groupBy("rid").agg(F.collect_set(F.struct("i", "n")).alias("starts"))
+    places = F.flatten(F.transform("starts", lambda p: F.sequence(p["i"], p["i"] + p["n"] - 1)))
+    gone = gone.select("rid", F.sort_array(F.array_distinct(places)).alias("places"))
     out = base.join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
     t = F.col(f"row.`{text_col}`")
-    starts = F.coalesce("starts", F.array().cast("array<int>"))
-    return out.select("row", t.alias("_t"), starts.alias("_s")).select(
-        "row", _rewrite(F.col("_t"), F.col("_s"), min_lines).alias("r")
+    places = F.coalesce("places", F.array().cast("array<int>"))
+    return out.select("row", t.alias("_t"), places.alias("_p")).select(
+        "row", _rewrite(F.col("_t"), F.col("_p")).alias("r")
     ).select("row", "r.*")
 
 
-def _rewrite(text: Column, starts: Column, length: int) -> Column:
-    """struct(kept_text, n_lines, n_removed, n_runs, longest_run)."""
+def _rewrite(text: Column, gone: Column) -> Column:
+    """struct(kept_text, n_lines, n_removed, n_runs, longest_run); ``gone``: the
+    sorted sequence positions of the lines to delete."""
     zero = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("gone"), F.lit(0).alias("runs"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def merge(acc: Column, p: Column) -> Column:
-        joins = p <= acc["end"]
-        add = p + length - F.greatest(p, acc["end"])
-        run = F.when(joins, acc["run"] + add).otherwise(add)
+        joins = p == acc["end"]
+        run = F.when(joins, acc["run"] + 1).otherwise(1)
         return F.struct(
-            (p + length).alias("end"),
-            (acc["gone"] + add).alias("gone"),
+            (p + 1).alias("end"),
+            (acc["gone"] + 1).alias("gone"),
             (acc["runs"] + F.when(joins, 0).otherwise(1)).alias("runs"),
             run.alias("run"),
             F.greatest(acc["best"], run).alias("best"),
         )
 
     def body(lines: Column) -> Column:
-        stats = F.aggregate(starts, zero, merge)
+        stats = F.aggregate(gone, zero, merge)
         # the sequence position of every line: blank lines have none
         marks = F.transform(lines, lambda x: F.when(strip(x) != "", 1).otherwise(0))
-        gone = F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (length - 1))))
-        kept = let(
-            F.array_distinct(gone),
-            lambda g: F.when(F.size(g) == 0, text).otherwise(_without(lines, marks, g)),
-        )
+        kept = F.when(F.size(gone) == 0, text).otherwise(_without(lines, marks, gone))
         return let(
             stats,
             lambda s: F.struct(
@@ -154,10 +169,12 @@ def op7_line_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def remove_line_runs(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with the copies deleted from ``text`` and ``n_chars`` brought up to
-    date; documents of which no word is left go, as their lines stand elsewhere."""
-    out = dedup(docs, min_lines=min_lines).filter("n_removed = 0 or n_removed < n_lines")
+def remove_line_runs(
+    docs: DataFrame, *, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS
+) -> DataFrame:
+    """``docs`` with the copies (long single lines too) deleted from ``text`` and
+    ``n_chars`` brought up to date; documents of which no word is left go, as their lines stand elsewhere."""
+    out = dedup(docs, min_lines=min_lines, long_words=long_words).filter("n_removed = 0 or n_removed < n_lines")
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     changed = lambda c: F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.`{c}`"))
     return out.select(*[changed(c).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
