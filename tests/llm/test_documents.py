@@ -110,6 +110,19 @@ def test_quality_line_frequency(spark):
     assert got[91].kept
 
 
+def test_quality_lines_leave_the_text(spark):
+    """Rows that are kept lose the frequent lines, but in the first document; blank lines stay."""
+    common = passage(1, 40)
+    text = lambda i: f"{passage(300 + i, 60)}\n\n{common}\n{passage(400 + i, 12)}\n  {common.upper()} \nend"
+    data = [(i, text(i), "h") for i in range(6)] + [(90, passage(9, 40), "h"), (91, text(91), "other"), (92, None, "h")]
+    # by the limit, less than half of the words may go: one copy here, not two
+    data += [(70, f"{passage(500, 100)}\n \n{common.title()}  ", "h"), (71, common, "h")]
+    df = spark.createDataFrame([(d, t, s, len(t or "")) for d, t, s in data], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in quality.keep_good(df, line_limit=4).collect()}
+    want = {d: t for d, t, _ in data if d in (0, 90, 91)} | {70: f"{passage(500, 100)}\n "}
+    assert got == {d: (t, len(t)) for d, t in want.items()}
+
+
 def brute_lines(data, n):
     seqs = {}
     for d, t in data:

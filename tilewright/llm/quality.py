@@ -116,7 +116,9 @@ def judge(
     windows.  Method: a normalised line (trimmed, white space collapsed, lower
     case) that more than ``line_limit`` different documents of one host carry is
     removed everywhere but in the document with the smallest id; a document is
-    rejected when fewer than 10 words, or less than half of them, are left.
+    rejected when fewer than 10 words, or less than half of them, are left.  With
+    ``carry`` the text without these lines comes as ``kept_text`` (the text
+    itself, null too, where none goes), otherwise their words are only counted.
 
     Exact copies of a text count as one document, so copies alone never make a
     line frequent.  Null text: no words (base_failed).  Null host is a host of
@@ -166,7 +168,10 @@ def judge(
         .join(frequent.select("key", "first"), "key")
         .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("_rid")
-        .agg(F.sum("w").cast("long").alias("n_removed_words"))
+        .agg(
+            F.sum("w").cast("long").alias("n_removed_words"),
+            *([F.collect_set("key").alias("_gone")] if carry else []),
+        )
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -175,16 +180,27 @@ def judge(
     depleted = (gone > 0) & (
         (F.col("n_words") - gone < MIN_WORDS) | (100 * gone > max_removed_percent * F.col("n_words"))
     )
-    return x.drop("_lines", "_h1", "_h2", "_host").join(removed, "_rid", "left").select(
+    if carry:
+        text = F.col(f"row.`{text_col}`")
+        stays = lambda s: (strip(s) == "") | ~F.array_contains("_gone", F.xxhash64(F.col("_host"), normalised(s)))
+        rest = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+        row.append(F.when(F.col("_gone").isNull(), text).otherwise(rest).alias("kept_text"))
+    return x.drop("_lines", "_h1", "_h2").join(removed, "_rid", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         gone.alias("n_removed_words"), base_failed.alias("base_failed"),
         (~base_failed & ~depleted).alias("kept"), *row,
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    return judge(docs, carry=True).filter("kept").select("row.*")
+def keep_good(docs: DataFrame, *, line_limit: int = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the frequent lines deleted
+    from ``text`` and ``n_chars`` brought up to date."""
+    judged = judge(docs, line_limit=line_limit, carry=True)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    changed = lambda c: F.when(F.col("n_removed_words") > 0, new[c]).otherwise(F.col(f"row.`{c}`"))
+    return judged.filter("kept").select(
+        *[changed(c).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
+    )
 
 
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
