@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,44 @@ def test_mix_rows(docs):
     assert max(r[0] for r in got.groupBy("doc_id", "text").count().select("count").collect()) <= 6  # a repeated row, three times each
 
 
+def brute_mix(data, sizes, weights, slots):
+    """Document ids in the order of the schedule, point by point."""
+    total, goal = sum(sizes.values()), brute_targets(sizes, weights)
+    block, ids = -(-total // slots), sorted(sizes)
+    starts = {s: {} for s in ids}
+    for s in ids:
+        at = 0
+        mine = sorted((r for r in data if r[2] == s), key=lambda r: hashlib.md5(f"mix{r[0]}".encode()).hexdigest())
+        for d, t, _ in mine * 3:
+            if at < round(goal[s]):
+                starts[s].setdefault(at // block, []).append(d)
+            at += len(words(t))
+    ends, used, out = np.cumsum([goal[s] for s in ids]) / total, Counter(), []
+    for n in range(-(-total // block)):
+        x = (n + 0.5) * 0.6180339887498949 % 1
+        s = ids[min(int(np.searchsorted(ends, x, "right")), len(ids) - 1)]
+        out += starts[s].pop(used[s], [])
+        used[s] += 1
+    return out, sum(len(d) for b in starts.values() for d in b.values())
+
+
+def test_mix_order(spark, tmp_path):
+    """Rows are written in the order of the schedule; its prefixes stay near the weights."""
+    data = [(i, passage(600 + i, 10), "abbccccccc"[i % 10]) for i in range(400)]
+    sizes = {s: 10 * sum(r[2] == s for r in data) for s in "abc"}
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    want, late = brute_mix(data, sizes, (5, 2, 1), 800)
+    got = [r.doc_id for r in mixing.mix(df, slots=800).collect()]
+    assert late <= 3 and got[: len(want)] == want and len(got) == len(want) + late
+    mixing.mix(df, slots=800).write.parquet(str(tmp_path / "mix"))
+    files = sorted((tmp_path / "mix").glob("part-*"))
+    assert [d for f in files for d in pq.read_table(f)["doc_id"].to_pylist()] == got
+    goal, count = brute_targets(sizes, (5, 2, 1)), Counter()
+    for n, d in enumerate(got, 1):
+        count[data[d][2]] += 1
+        assert all(abs(count[s] - n * goal[s] / sum(sizes.values())) <= 4 for s in sizes)
+
+
 def test_sentencepiece_equals_library(docs):
     import sentencepiece
 

@@ -109,9 +109,9 @@ def plan(
     max_epochs: int = MAX_EPOCHS,
     slots: int = SLOTS,
     carry: bool = False,
-) -> tuple[DataFrame, DataFrame, int]:
-    """(placed, slot table, block size): placed has one row per document with its
-    place ``a`` in its source's stream; with ``carry`` also the row as ``row``.
+) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
+    """(placed, slot table, block size, rows): placed has one row per document with
+    its place ``a`` in its source's stream; with ``carry`` rows has _rid and ``row``.
     """
     x = docs.select(
         F.monotonically_increasing_id().alias("_rid"),
@@ -146,9 +146,7 @@ def plan(
         "x._rid", "x.doc_id", "x.size", "x.a", "s.sidx", "s.source_size", "s.target",
         F.round("s.target").cast("long").alias("quota"),
     )
-    if carry:
-        here = here.join(x.select("_rid", "row"), "_rid")
-    return here, schedule(src, total, slots), max(1, -(-total // slots))
+    return here, schedule(src, total, slots), max(1, -(-total // slots)), x.select("_rid", "row") if carry else None
 
 
 def _copies(placed: DataFrame, max_epochs: int) -> DataFrame:
@@ -165,7 +163,7 @@ def taken(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS,
     own, placed last.  Repeated rows are separate rows.  An empty table gives an
     empty result.  Extra columns are not touched.
     """
-    placed, table, block = plan(docs, max_epochs=max_epochs, slots=slots, **cols)
+    placed, table, block, _ = plan(docs, max_epochs=max_epochs, slots=slots, **cols)
     placed = materialize(placed, "mixing-placed")
     end = F.least(F.col("at") + F.col("size"), F.col("quota"))
     parts = _copies(placed.filter("size > 0"), max_epochs).withColumn("end", end)
@@ -180,16 +178,27 @@ def taken(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS,
     )
 
 
-def mix(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, **cols) -> DataFrame:
-    """The mixed corpus, with the columns of ``docs``: a document comes once for
-    every time the schedule reaches its first word (never more than
-    ``max_epochs`` times), so whole texts are kept.  Documents without words have
-    no place in a stream and are left out.
+def scheduled(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, **cols) -> DataFrame:
+    """slot, sidx, at and ``row``: a document comes once for every time the schedule
+    reaches its first word (never more than ``max_epochs`` times), so whole texts
+    are kept.  The mix is in the order of slot, sidx, at, which no two rows share;
+    the rows here are not sorted.  Documents without words have no place in a
+    stream and are left out.
     """
-    placed, table, block = plan(docs, max_epochs=max_epochs, slots=slots, carry=True, **cols)
+    placed, table, block, rows = plan(docs, max_epochs=max_epochs, slots=slots, carry=True, **cols)
     copies = _copies(placed.filter("size > 0"), max_epochs)
     copies = copies.withColumn("block", F.floor(F.col("at") / block))
-    return copies.join(table, ["sidx", "block"]).select("row.*")
+    copies = copies.join(table, ["sidx", "block"]).select("_rid", "slot", "sidx", "at")
+    return materialize(copies, "mixing-slots").join(rows, "_rid").select("slot", "sidx", "at", "row")
+
+
+def mix(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, **cols) -> DataFrame:
+    """The rows of ``scheduled`` with the columns of ``docs``, in the order of the
+    schedule: partitions are ranges of slots, so what is written stands in the
+    order of the part files, and every stretch of it is near the target weights.
+    """
+    out = scheduled(docs, max_epochs=max_epochs, slots=slots, **cols)
+    return out.orderBy("slot", "sidx", "at").select("row.*")
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:
