@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.ragged import portions
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -38,10 +40,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of a batch that goes to Python from now on (session setting): with
-    the default of 10,000 a batch of very long texts does not fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(rows: DataFrame, column: str, run: Callable, schema: str, size: int = 3 << 20) -> DataFrame:
+    """``rows.mapInArrow``, with ``run`` given batches of about ``size`` bytes of a
+    string column (one row at least).  Spark bounds the bytes of what it sends
+    (spark.sql.execution.arrow.maxBytesPerBatch); this bounds the working memory."""
+
+    def bounded(batches):
+        return run(part for whole in batches for part in portions(whole, column, size))
+
+    return rows.mapInArrow(bounded, schema)
 
 
 #: Tables that ``materialize`` has written in this process and nobody has released.

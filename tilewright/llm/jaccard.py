@@ -16,9 +16,10 @@
    while many pairs are open.  Then all pairs of a list that are not yet
    connected are tested, so no link that matters to the components is lost.
 
-The order needs a mark for common tokens.  It is a bitmap of fixed size
-(``BITS``), which is broadcast; any bitmap gives right results, a full one only
-longer lists.  Another such bitmap lets tasks skip texts that no candidate needs.
+The order needs a mark for common tokens.  It is a bitmap of bounded size, which
+is broadcast; any bitmap gives right results, and if there are too many common
+tokens for it only the most common are marked.  Another such bitmap lets tasks
+skip texts that no candidate needs.
 """
 
 from __future__ import annotations
@@ -32,19 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_rows, materialize, release
+from tilewright.llm.bitmaps import MOST, bitmap_of, in_bitmap
+from tilewright.llm.common import materialize, release, text_batches
 from tilewright.llm.components import components
-from tilewright.llm.shingles import mix, set_name, shingle_sets
+from tilewright.llm.ragged import portions
+from tilewright.llm.shingles import mix, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
-BITS = 1 << 25
-_SLICE = 250
+_SLICE = 1 << 20  # bytes of text whose sets are made at a time
 _LOCAL = 3  # a token in so many sets of a batch is reported in any case
 _COMMON = 24  # and common if reported so often in all
 _SMALL = 64  # sizes in the cost histogram
 _MOST_LIGHT = 24
 _BLOCK_NODES = 1024
-_BLOCK_SKETCHES = 16_384
+_BLOCK_SKETCHES = 2048
 _STARS = 6
 _LEADERS = 3
 _OPEN = 2000  # open pairs a list row up to which all are tested at once
@@ -53,23 +55,6 @@ _LIST_BLOCK = 512
 _CELLS = 256
 
 
-def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITS bits with the low bits of a long column set: at most
-    BITS / 8 bytes come to the driver, however many rows there are."""
-    at = df.select((F.col(column).bitwiseAND(F.lit(BITS - 1)) + 1).alias("b"))  # Spark counts bits from 1
-    rows = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
-    out = np.zeros(BITS // 8, np.uint8)
-    for k, m in rows:
-        part = np.frombuffer(bytes(m), np.uint8)
-        out[(k - 1) * len(part) : k * len(part)] = part
-    return out
-
-
-def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values & np.uint64(BITS - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def overlap(s: int, m: int, percent: int) -> int:
     """The least intersection of two linked sets of these sizes."""
     return -(-percent * (s + m) // (100 + percent))
@@ -113,12 +98,6 @@ def keys_of(tokens: np.ndarray, common: np.ndarray | None, x: int, percent: int)
     return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, _SLICE):
-            yield b.slice(at, _SLICE)
-
-
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
@@ -133,7 +112,7 @@ def _statistics(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             lead, often, sizes, seen = [], [], np.zeros(_SMALL + 1, np.int64), np.zeros(2, np.int64)
-            for b in _slices([batch]):
+            for b in portions(batch, "_text", _SLICE):
                 sets = shingle_sets(b.column(1), n)
                 lead += [s[: prefix(len(s), percent)] for s in sets if len(s)]
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -152,14 +131,13 @@ def _statistics(docs: DataFrame, n: int, percent: int) -> DataFrame:
             kinds = np.concatenate((np.zeros(len(first) + new.sum(), np.int32), np.full(_SMALL + 1, 1, np.int32), np.array([2, 2], np.int32)))
             yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(values, pa.int64()), pa.array(numbers, pa.int64())], names=["kind", "value", "number"])
 
-    return docs.select("_id", "_text").mapInArrow(run, "kind int, value long, number long")
+    return text_batches(docs.select("_id", "_text"), "_text", run, "kind int, value long, number long", 4 * _SLICE)
 
 
 def _keyed(docs: DataFrame, n: int, percent: int, common, x: int) -> DataFrame:
     def run(batches):
-        for b in _slices(batches):
-            sets = shingle_sets(b.column(1), n)
-            names = [set_name(s) for s in sets]
+        for b in batches:
+            sets, names = shingle_sets(b.column(1), n, names=True)
             keys = [keys_of(s, common.value, x, percent) for s in sets]
             cells = [sketch(s) if len(k) else b"" for s, k in zip(sets, keys)]
             yield pa.record_batch(
@@ -167,7 +145,21 @@ def _keyed(docs: DataFrame, n: int, percent: int, common, x: int) -> DataFrame:
                 names=["_id", "n", "h1", "h2", "keys", "cells"],
             )
 
-    return docs.select("_id", "_text").mapInArrow(run, "_id long, n long, h1 long, h2 long, keys array<long>, cells binary")
+    return text_batches(docs.select("_id", "_text"), "_text", run, "_id long, n long, h1 long, h2 long, keys array<long>, cells binary", _SLICE)
+
+
+def common_bitmap(tokens: DataFrame) -> np.ndarray:
+    """A bitmap of common tokens (value, number), at most one bit in eight: if there
+    are more than that, only those from the power of two on that fits are marked,
+    so the longest lists are avoided at every table size."""
+    powers = tokens.groupBy(F.floor(F.log2("number")).alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect()
+    least, total = 0, 0
+    for r in powers:
+        if total + r["n"] > MOST // 8:
+            least = 2 ** (r["p"] + 1)
+            break
+        total += r["n"]
+    return bitmap_of(tokens.filter(F.col("number") >= least), "value", total)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -186,7 +178,7 @@ def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
     """_id, tokens (binary) of the documents that the bitmap ``wanted`` may hold."""
 
     def run(batches):
-        for b in _slices(batches):
+        for b in batches:
             ids = b.column(0)
             keep = in_bitmap(wanted.value, ids.fill_null(0).to_numpy().view(np.uint64))
             b = b.filter(pa.array(keep))
@@ -194,7 +186,7 @@ def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(b.column(1), n)]
                 yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
-    return docs.select("_id", "_text").mapInArrow(run, "node long, tokens binary")
+    return text_batches(docs.select("_id", "_text"), "_text", run, "node long, tokens binary", _SLICE)
 
 
 def _dealt(pairs: DataFrame, data: DataFrame, blocks: int):
@@ -355,7 +347,7 @@ def _connect(docs: DataFrame, lists: DataFrame, nodes: DataFrame, shingle: int,
         n_some = some.count()
         if not n_some:
             continue
-        wanted = spark.sparkContext.broadcast(bitmap_of(some, "node"))
+        wanted = spark.sparkContext.broadcast(bitmap_of(some, "node", n_some))
         sets = materialize(_sets(docs, shingle, wanted), "jaccard-sets")
         found = materialize(_verify(possible, sets.distinct(), percent, max(1, -(-n_some // _BLOCK_NODES))), "jaccard-links")
         release(sets)
@@ -378,7 +370,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     cut; extra columns are not read.
     """
     spark: SparkSession = docs.sparkSession
-    arrow_rows(spark, 1000)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     stats = _statistics(docs, shingle, percent).groupBy("kind", "value").agg(F.sum("number").alias("number"))
     stats = materialize(stats.filter(F.col("kind").isin(1, 2) | (F.col("number") >= _COMMON)), "jaccard-statistics")
@@ -386,7 +377,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     sizes = {r["value"]: r["number"] for r in totals if r["kind"] == 1 and 0 < r["value"] < _SMALL}
     seen = {r["value"]: r["number"] for r in totals if r["kind"] == 2}
     x = boundary(sizes, seen.get(0, 0) / max(1, seen.get(1, 0)), percent)
-    common = spark.sparkContext.broadcast(bitmap_of(stats.filter("kind = 0"), "value"))
+    common = spark.sparkContext.broadcast(common_bitmap(stats.filter("kind = 0")))
     keyed = materialize(_keyed(docs, shingle, percent, common, x), "jaccard-keys")
     classes = keyed.filter("n > 0").groupBy("h1", "h2").agg(
         F.min("_id").alias("node"), F.max("n").alias("n"), F.any_value(F.struct("keys", "cells")).alias("s")

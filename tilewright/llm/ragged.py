@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,51 +28,12 @@ def portions(batch: pa.RecordBatch, column: str, size: int = 12 << 20) -> Iterat
         at, done = end, int(ends[end - 1])
 
 
-class UnitCache:
-    """unit -> ids, for ``encode_many`` that encodes a list of units to ids as
-    32-bit numbers in bytes.
-
-    Holds two generations of at most ``limit`` units each: when the young one is
-    full it becomes the old one, from which units in use come back, so frequent
-    units stay and memory is bounded.
-    """
-
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = 350_000):
-        self.encode_many, self.limit, self.young, self.old = encode_many, limit, {}, {}
-
-    def of(self, units: list[str]) -> list[bytes]:
-        found = list(map(self.young.get, units))
-        miss = [i for i, x in enumerate(found) if x is None]
-        if miss:
-            if len(self.young) + len(miss) > self.limit:
-                self.young, self.old = {}, self.young
-            fresh = []
-            for i in miss:
-                found[i] = x = self.old.get(units[i])
-                if x is None:
-                    fresh.append(i)
-                else:
-                    self.young[units[i]] = x
-            names = [units[i] for i in fresh]
-            for i, u, ids in zip(fresh, names, self.encode_many(names)):
-                found[i] = self.young[u] = ids
-        return found
-
-    def of_all(self, units: list[str]) -> list[bytes]:
-        """Like ``of``, for units that repeat."""
-        found = dict.fromkeys(units)
-        found = dict(zip(found, self.of(list(found))))
-        return [found[u] for u in units]
-
-
-def encode_rows(lists: pa.ListArray, of: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each row) for rows of units; ``of`` gets each
-    distinct unit once."""
+def encode_rows(lists: pa.ListArray, search: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each row) for rows of units; ``search`` gets each
+    distinct unit once and gives the ids of all, and of each their number."""
     rows = np.asarray(lists.offsets, dtype=np.int64)
     codes = lists.flatten().dictionary_encode()
-    ids = of(codes.dictionary.to_pylist())
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), np.int32)
+    flat, size = search(codes.dictionary)
     starts = np.cumsum(size) - size
     c = np.asarray(codes.indices)
     lengths = size[c] if len(c) else np.zeros(0, np.int64)

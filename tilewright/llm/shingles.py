@@ -1,4 +1,7 @@
-"""Shingle sets of Arrow text columns in numpy: 63-bit tokens, whole texts."""
+"""Shingle sets of Arrow text columns in numpy: 63-bit tokens, whole texts.
+
+``powers`` serves the rolling names of windows of the suffix dedup.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +15,13 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _values() -> np.ndarray:
-    v = np.random.RandomState(7).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    v[65:91] = v[97:123]  # A-Z as a-z
-    return v
-
-
-_VALUES = _values()
+#: A-Z as a-z
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: What is read of the last 8 bytes of a word, by how many are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Where the two word hashes start.
+_SEEDS = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -48,18 +51,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) and the n + 1 offsets."""
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    if pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type):
+        text = pc.fill_null(text.cast(pa.large_binary()), b"")
+    else:
+        text = pc.fill_null(text.cast(pa.large_string()), "")
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = text.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lowered) and the n + 1 word offsets of the texts."""
+def hash_slices(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """64-bit hashes of slices: 8 bytes a round go through a full scrambling with
+    all that came before, so unlike sums of powers they have no structure that
+    texts could have too."""
+    words = np.ndarray((len(buf) + 1,), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    h = mix(sizes.astype(np.uint64) * np.uint64(_P) + seed)
+    at, left, live = starts, sizes, None
+    while True:
+        part = words[at] & _LEFT[np.minimum(left, 8)]
+        if live is None:
+            h = mix((h ^ part) * np.uint64(_P))
+        else:
+            h[live] = mix((h[live] ^ part) * np.uint64(_P))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+
+
+def word_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of every word and the n + 1 word offsets of the texts."""
     n = len(buf)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     blank = SPACE[buf]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -67,44 +93,45 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.concatenate((blank[1:], [True])) | first[1:]
     starts = np.flatnonzero(~blank & before)
     ends = np.flatnonzero(~blank & after) + 1
-    up, down = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[buf] * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, offsets)
-
-
-def shingle_sets(text: pa.Array, n: int) -> list[np.ndarray]:
-    """For each text the sorted distinct tokens (below 2**63) of its n-word
-    shingles; with fewer words the whole sequence is one; without words none."""
+    return starts, ends - starts, np.searchsorted(starts, offsets)
+
+
+def _shingles(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Tokens (below 2**63) of the n-word shingles that begin at each word, across
+    texts too; of texts with fewer words the first place holds the whole sequence."""
+    size = np.diff(at)
+    out = np.zeros(len(h), np.uint64)
+    last = max(0, len(h) - n + 1)
+    for k in range(n):
+        out[:last] += h[k : last + k] * np.uint64(pow(_P, k + 2, 1 << 64))
+    out = mix(out)
+    short = np.flatnonzero((size > 0) & (size < n))
+    x = np.zeros(len(short), np.uint64)
+    for k in range(n - 1):
+        on = size[short] > k
+        x[on] = mix((x[on] + h[at[:-1][short[on]] + k]) * np.uint64(_PI))
+    out[at[:-1][short]] = x
+    return out >> np.uint64(1)
+
+
+def shingle_sets(text: pa.Array, n: int, names: bool = False) -> list:
+    """For each text the sorted distinct tokens of its n-word shingles; with fewer
+    words the whole sequence is one; without words none.  With ``names`` also each
+    set's name: two 64-bit sums, of these tokens and of tokens from word hashes of
+    their own."""
     buf, offsets = text_bytes(text)
-    h, at = word_hashes(buf, offsets)
-    if len(h) >= n:
-        factors = [pow(_P, k + 2, 1 << 64) for k in range(n)]
-        rolled = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):
-            rolled += h[k : len(h) - n + 1 + k] * np.uint64(factors[k])
-        rolled = mix(rolled) >> np.uint64(1)
-    out = []
+    buf = LOWER[buf]
+    starts, sizes, at = word_places(buf, offsets)
+    tokens = _shingles(hash_slices(buf, starts, sizes, _SEEDS[0]), at, n)
+    other = _shingles(hash_slices(buf, starts, sizes, _SEEDS[1]), at, n) if names else None
+    sets, named = [], []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a >= n:
-            out.append(np.unique(rolled[a : b - n + 1]))
-        elif b > a:
-            x = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for v in h[a:b]:
-                    x = mix(np.array([(x + v) * np.uint64(_PI)]))[0]
-            out.append(np.array([x >> np.uint64(1)], np.uint64))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def set_name(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set, as signed numbers."""
-    if not len(tokens):
-        return 0, 0
-    a = mix(tokens).sum(dtype=np.uint64)
-    b = mix(tokens * np.uint64(_P) + np.uint64(0x51ED)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+        end = max(b - n + 1, a + 1) if b > a else a
+        if not names:
+            sets.append(np.unique(tokens[a:end]))
+            continue
+        found, first = np.unique(tokens[a:end], return_index=True)
+        sets.append(found)
+        two = (mix(found), mix(other[a:end][first] + np.uint64(0x51ED)))
+        named.append(tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in two))
+    return [sets, named] if names else sets

@@ -40,9 +40,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_rows, materialize, release
-from tilewright.llm.jaccard import bitmap_of, in_bitmap
-from tilewright.llm.ragged import take
+from tilewright.llm.bitmaps import bitmap_of, in_bitmap
+from tilewright.llm.common import materialize, release
+from tilewright.llm.ragged import portions, take
 from tilewright.llm.shingles import mix, powers, text_bytes
 
 LENGTH = 100
@@ -51,7 +51,7 @@ BLOCK = 3000
 BYTES = 60_000
 HOT = 16_384
 _RUN = 120  # windows of a piece at most
-_SLICE = 64
+_SLICE = 256 << 10  # bytes of text cut into pieces at a time
 _COUNTED = 400_000  # minimizers counted before they are passed on
 _NULL_ID = -(1 << 63)
 
@@ -256,15 +256,14 @@ class Pieces:
         return mix(a + size.astype(np.uint64)).view(np.int64), mix(b ^ np.uint64(0x77)).view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], copies=None) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str, copies=None) -> Iterator[pa.RecordBatch]:
     """Small slices; with ``copies`` without the rows that may be exact copies,
     unless they are known to be none (``_sure``)."""
     for b in batches:
         if copies is not None:
-            may = in_bitmap(copies.value, b.column(0).to_numpy().view(np.uint64))
-            b = b.filter(pa.array(b.column(2).to_numpy(zero_copy_only=False) | ~may))
-        for at in range(0, b.num_rows, _SLICE):
-            yield b.slice(at, _SLICE)
+            may = in_bitmap(copies.value, b.column("_id").to_numpy().view(np.uint64))
+            b = b.filter(pa.array(b.column("_sure").to_numpy(zero_copy_only=False) | ~may))
+        yield from portions(b, column, _SLICE)
 
 
 def _batch(names: str, *cols) -> pa.RecordBatch:
@@ -281,8 +280,8 @@ def _minimizers(docs: DataFrame, copies, length: int) -> DataFrame:
             found, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
             return _batch("h n", found.view(np.int64), np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64))
 
-        for b in _slices(batches, copies):
-            p = Pieces(b.column(1), length)
+        for b in _slices(batches, "_text", copies):
+            p = Pieces(b.column("_text"), length)
             if len(p.row):
                 held.append((p.least, p.occurrences(np.arange(len(p.row)))))
             if sum(len(h) for h, _ in held) > _COUNTED:
@@ -296,31 +295,32 @@ def _minimizers(docs: DataFrame, copies, length: int) -> DataFrame:
 
 def _marked(docs: DataFrame, copies, length: int, bits) -> DataFrame:
     def run(batches):
-        for b in _slices(batches, copies):
-            p = Pieces(b.column(1), length)
+        for b in _slices(batches, "_text", copies):
+            p = Pieces(b.column("_text"), length)
             which = np.flatnonzero(in_bitmap(bits.value, p.least))
             if len(which):
                 c1, c2 = p.names(p.first[which], p.size[which])
-                ids = b.column(0).to_numpy()[p.row[which]]
+                row = p.row[which]
+                ids, texts = b.column("_id").to_numpy()[row], b.column("_k").to_numpy()[row]
                 own = p.occurrences(which) > 1
-                yield _batch("h c1 c2 doc start size own", p.least[which].view(np.int64), c1, c2, ids, p.start[which], p.size[which].astype(np.int32), own)
+                yield _batch("h c1 c2 doc k start size own", p.least[which].view(np.int64), c1, c2, ids, texts, p.start[which], p.size[which].astype(np.int32), own)
 
-    return docs.select("_id", "_text", "_sure").mapInArrow(run, "h long, c1 long, c2 long, doc long, start long, size int, own boolean")
+    return docs.select("_id", "_k", "_text", "_sure").mapInArrow(run, "h long, c1 long, c2 long, doc long, k long, start long, size int, own boolean")
 
 
-def place_name(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return mix(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + starts.astype(np.uint64)) >> np.uint64(1)
+def place_name(docs: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return mix(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (texts.view(np.uint64) ^ starts.astype(np.uint64))) >> np.uint64(1)
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """The two bits of each (doc, start)."""
+    """The two bits of each (doc, k, start)."""
 
     def run(batches):
         for b in batches:
-            names = place_name(b.column(0).to_numpy(), b.column(1).to_numpy())
+            names = place_name(*(b.column(c).to_numpy() for c in ("doc", "k", "start")))
             yield _batch("place", np.concatenate((names, names >> np.uint64(32))).view(np.int64))
 
-    return rows.select("doc", "start").mapInArrow(run, "place long")
+    return rows.select("doc", "k", "start").mapInArrow(run, "place long")
 
 
 def in_both(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -329,48 +329,51 @@ def in_both(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def _strings(docs: DataFrame, copies, length: int, bits, places, hot) -> DataFrame:
-    """h, doc, start, bytes, hot of the marked pieces whose place may be wanted.
+    """h, doc, k, start, bytes, hot of the marked pieces whose place may be wanted.
     One that is not wanted only makes its bucket larger."""
 
     def run(batches):
-        for b in _slices(batches, copies):
-            p = Pieces(b.column(1), length)
+        for b in _slices(batches, "_text", copies):
+            p = Pieces(b.column("_text"), length)
             which = np.flatnonzero(in_bitmap(bits.value, p.least))
-            ids = b.column(0).to_numpy()[p.row[which]]
-            keep = in_both(places.value, place_name(ids, p.start[which]))
-            which, ids = which[keep], ids[keep]
+            row = p.row[which]
+            ids, texts = b.column("_id").to_numpy()[row], b.column("_k").to_numpy()[row]
+            keep = in_both(places.value, place_name(ids, texts, p.start[which]))
+            which, ids, texts = which[keep], ids[keep], texts[keep]
             if len(which):
                 cut = np.concatenate(([0], np.cumsum(p.size[which]))).astype(np.int32)
                 data = take(p.buf, p.first[which], p.size[which])
                 strings = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(cut), pa.py_buffer(data)])
-                yield _batch("h doc start bytes hot", p.least[which].view(np.int64), ids, p.start[which], strings, in_bitmap(hot.value, p.least[which]))
+                yield _batch("h doc k start bytes hot", p.least[which].view(np.int64), ids, texts, p.start[which], strings, in_bitmap(hot.value, p.least[which]))
 
-    return docs.select("_id", "_text", "_sure").mapInArrow(run, "h long, doc long, start long, bytes binary, hot boolean")
+    return docs.select("_id", "_k", "_text", "_sure").mapInArrow(run, "h long, doc long, k long, start long, bytes binary, hot boolean")
 
 
 def _windows(strings: DataFrame, length: int) -> DataFrame:
-    """c1, c2, doc, start of every window of the strings."""
+    """c1, c2, doc, k, at, start of every window of the strings (at: the string's start)."""
 
     def run(batches):
-        for b in _slices(batches):
-            p = Pieces(b.column("bytes").cast(pa.large_binary()).view(pa.large_string()), length)
+        for b in _slices(batches, "bytes"):
+            p = Pieces(b.column("bytes"), length)
             n = np.maximum(np.diff(p.offsets) - length + 1, 0)
             r = np.repeat(np.arange(len(n)), n)
             s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             c1, c2 = p.names(p.offsets[r] + s, np.full(len(s), length))
             if len(s):
-                yield _batch("c1 c2 doc start", c1, c2, b.column("doc").to_numpy()[r], b.column("start").to_numpy()[r] + s)
+                doc, k, at = (b.column(c).to_numpy()[r] for c in ("doc", "k", "start"))
+                yield _batch("c1 c2 doc k at start", c1, c2, doc, k, at, at + s)
 
-    return strings.select("doc", "start", "bytes").mapInArrow(run, "c1 long, c2 long, doc long, start long")
+    return strings.select("doc", "k", "start", "bytes").mapInArrow(run, "c1 long, c2 long, doc long, k long, at long, start long")
 
 
 def _later_spans(strings: DataFrame, length: int, blocks: int) -> DataFrame:
-    """doc, start, end of the repeats inside each block's collection."""
+    """doc, k, at, start, end of the repeats inside each block's collection (at:
+    the start of the string that holds them)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("h")
-        h, docs, starts = (table.column(c).to_numpy() for c in ("h", "doc", "start"))
-        data, offsets = text_bytes(table.column("bytes").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
+        h, docs, texts, starts = (table.column(c).to_numpy() for c in ("h", "doc", "k", "start"))
+        data, offsets = text_bytes(table.column("bytes").combine_chunks())
         found, at = [], 0
         ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
         while at < len(h):
@@ -380,18 +383,19 @@ def _later_spans(strings: DataFrame, length: int, blocks: int) -> DataFrame:
             found.append((part[0] + at, part[1]))
             at = end
         string, offset = (np.concatenate(x) for x in zip(*found))
-        d, s = docs[string], starts[string] + offset
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        new = np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))) if len(d) else np.zeros(0, bool)
+        order = np.lexsort((offset, string))
+        string, offset = string[order], offset[order]
+        new = np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(string) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(d)) - 1 if len(d) else first
-        return pa.table({"doc": d[first], "start": s[first], "end": s[last] + length})
+        last = np.append(first[1:], len(string)) - 1 if len(string) else first
+        at = starts[string[first]]
+        return pa.table({"doc": docs[string[first]], "k": texts[string[first]], "at": at, "start": at + offset[first], "end": at + offset[last] + length})
 
     block = F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")
-    return strings.select(block, "h", "doc", "start", "bytes").groupBy("block").applyInArrow(run, "doc long, start long, end long")
+    return strings.select(block, "h", "doc", "k", "start", "bytes").groupBy("block").applyInArrow(run, "doc long, k long, at long, start long, end long")
 
 
+_ROWS = 64
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -401,7 +405,7 @@ def _removal(rows: DataFrame, digest: bool) -> DataFrame:
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in _slices(batches):
+        for b in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             out = [[], [], [], []]
             for packed, done, n, spans in zip(*(b.column(c).to_pylist() for c in ("_packed", "_done", "n_bytes", "spans"))):
                 if packed is None:
@@ -443,70 +447,80 @@ def _packed(docs: DataFrame, bits, digest: bool) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(3).compress
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole, "_text", 4 << 20)):
             may = in_bitmap(bits.value, b.column("_id").to_numpy().view(np.uint64))
             texts = [(t or "").encode() for t in b.column("_text").to_pylist()]
             packed = [pack(t) if m or not digest else None for t, m in zip(texts, may)]
             done = [None if m or not digest else hashlib.sha256(t).hexdigest() for t, m in zip(texts, may)]
             size = pa.array([len(t) for t in texts], pa.int64())
-            yield _batch("doc_id _id n_bytes _packed _done", b.column("doc_id"), b.column("_id"), size, pa.array(packed, pa.binary()), pa.array(done, pa.string()))
+            yield _batch("doc_id _id _k n_bytes _packed _done", b.column("doc_id"), b.column("_id"), b.column("_k"), size, pa.array(packed, pa.binary()), pa.array(done, pa.string()))
 
-    return docs.select("doc_id", "_id", "_text").mapInArrow(run, "doc_id long, _id long, n_bytes long, _packed binary, _done string")
+    return docs.select("doc_id", "_id", "_k", "_text").mapInArrow(run, "doc_id long, _id long, _k long, n_bytes long, _packed binary, _done string")
 
 
 def exact_copies(docs: DataFrame, length: int) -> DataFrame:
-    """doc, n: later documents with the text of an earlier one, of ``length`` bytes or more."""
+    """doc, k, n: later documents with the text of an earlier one, of ``length`` bytes or more."""
     text = F.coalesce("_text", F.lit(""))
     n = F.octet_length(text).cast("long")
-    named = docs.select("_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), n.alias("n"))
+    named = docs.select("_id", F.col("_k"), F.xxhash64(F.lit(1), text).alias("h2"), n.alias("n"))
     named = named.filter(F.col("n") >= length)
-    first = named.groupBy("h1", "h2", "n").agg(F.min("_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    later = named.join(first, ["h1", "h2", "n"]).filter("_id > first")
-    # an id with several texts stays with the others
-    one = docs.select("_id").groupBy("_id").agg(F.count("*").alias("k")).filter("k = 1").select("_id")
-    return later.join(one, "_id", "left_semi").select(F.col("_id").alias("doc"), "n")
+    first = named.groupBy("_k", "h2", "n").agg(F.min("_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    later = named.join(first, ["_k", "h2", "n"]).filter("_id > first")
+    return later.select(F.col("_id").alias("doc"), F.col("_k").alias("k"), "n")
+
+
+_PLACE = ("doc", "k", "start")
 
 
 def spans_of(docs: DataFrame, length: int) -> DataFrame:
-    """doc, start, end: byte ranges covered by windows that occur earlier."""
+    """doc, k, start, end: byte ranges covered by windows that occur earlier, of the
+    rows with id ``doc`` and a text with hash ``k``."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     again = materialize(exact_copies(docs, length), "suffix-copies")
-    maybe = send(bitmap_of(again, "doc"))
+    maybe = send(bitmap_of(again, "doc", again.count()))
     # what may be a copy is joined with the copies; all else surely is none
-    rest = _maybe(docs, maybe).join(again.select(F.col("doc").alias("_id")), "_id", "left_anti")
-    rest = materialize(rest, "suffix-rest")
+    rest = _maybe(docs, maybe).join(again.select(F.col("doc").alias("_id"), F.col("k").alias("_k")), ["_id", "_k"], "left_anti")
+    rest = materialize(rest.select(*docs.columns), "suffix-rest")
     docs = docs.withColumn("_sure", F.lit(False)).unionByName(rest.withColumn("_sure", F.lit(True)))
-    counts = _minimizers(docs, maybe, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    bits = send(bitmap_of(counts, "h"))
+    counts = _minimizers(docs, maybe, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    counts = materialize(counts, "suffix-minimizers")
+    bits = send(bitmap_of(counts, "h", counts.count()))
+    release(counts)
     pieces = materialize(_marked(docs, maybe, length, bits), "suffix-pieces")
     contents = pieces.groupBy("c1", "c2").agg(
-        F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c"), F.max("h").alias("h"), F.max("own").alias("own")
+        F.min(F.struct("doc", "start", "k")).alias("first"), F.count("*").alias("c"), F.max("h").alias("h"), F.max("own").alias("own")
     )
     contents = materialize(contents, "suffix-contents")
-    copies = (
-        pieces.join(contents.filter("c > 1").select("c1", "c2", "first"), ["c1", "c2"])
-        .filter(F.struct("doc", "start") != F.col("first"))
-        .select("doc", "start", (F.col("start") + F.col("size")).alias("end"))
-    )
+    copies = pieces.join(contents.filter("c > 1").select("c1", "c2", "first"), ["c1", "c2"])
+    end = (F.col("start") + F.col("size")).alias("end")
+    same_place = F.struct("doc", "start") == F.struct("first.doc", "first.start")
+    out = copies.filter(~same_place).select("doc", "k", "start", end)
+    # different texts under one id may hold a string at one place, which is first in all of them
+    ties = copies.filter(same_place & (F.col("k") != F.col("first.k")))
+    ties = materialize(ties.select("doc", "k", F.col("start").alias("at"), F.col("first.k").alias("k1")).distinct(), "suffix-ties")
     buckets = contents.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("any"))
     buckets = buckets.filter("k > 1 or any").select("h", (F.col("k") > HOT).alias("hot"))
-    want = contents.join(buckets, "h").select("first.doc", "first.start", "h", "hot")
+    want = contents.join(buckets, "h").select("first.doc", "first.k", "first.start", "h", "hot")
     want = materialize(want, "suffix-wanted")
-    n = want.filter("not hot").count()
-    places = send(bitmap_of(_named(want), "place"))
+    n, n_all = want.filter("not hot").count(), want.count()
+    places = send(bitmap_of(_named(want), "place", n_all, 2))
     hot = want.filter("hot").select("h").distinct()
-    strings = _strings(docs, maybe, length, bits, places, send(bitmap_of(hot, "h")))
+    strings = _strings(docs, maybe, length, bits, places, send(bitmap_of(hot, "h", 1)))
     inside = _later_spans(strings.filter("not hot"), length, max(1, -(-n // BLOCK)))
-    whole = again.select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    out = copies.unionByName(inside).unionByName(whole)
-    if not want.filter("hot").isEmpty():
+    if n < n_all:
         single = materialize(_windows(strings.filter("hot"), length), "suffix-windows")
         first = single.groupBy("c1", "c2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1")
         later = single.join(first, ["c1", "c2"]).filter(F.struct("doc", "start") != F.col("first"))
-        out = out.unionByName(later.select("doc", "start", (F.col("start") + length).alias("end")))
+        inside = inside.unionByName(later.select("doc", "k", "at", "start", (F.col("start") + length).alias("end")))
+    inside = materialize(inside, "suffix-inside")
+    whole = again.select("doc", "k", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    out = out.unionByName(inside.drop("at")).unionByName(whole)
+    if not ties.isEmpty():
+        found = inside.select("doc", F.col("k").alias("k1"), "at", "start", "end")
+        out = out.unionByName(ties.join(found, ["doc", "k1", "at"]).select("doc", "k", "start", "end"))
     out = materialize(out, "suffix-spans")
-    release(again, rest, pieces, contents, want)
+    release(again, rest, pieces, contents, want, ties, inside)
     return out
 
 
@@ -517,22 +531,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of ``length`` bytes covers it that also starts
     earlier: in a document with a smaller id, or before in the same.  Strings are
     judged on the input.  Null text: empty.  A null id comes before all others.
-    Rows with one id are the same document: equal places in them are one place,
-    so repeated rows keep their text.  Texts are never cut; extra columns are not
-    read.
+    Of rows with one id none comes before another: an equal string at one place
+    in several of them is no repeat there, so repeated rows keep their text, and
+    what goes is told for each row by its own text.  Texts are never cut; extra
+    columns are not read.
     """
-    arrow_rows(docs.sparkSession, 1000)
     send = docs.sparkSession.sparkContext.broadcast
+    text = F.col(f"`{text_col}`")
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("_id"),
-        F.col(f"`{text_col}`").alias("_text"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_k"),
+        text.alias("_text"),
     )
     spans = spans_of(rows, length)
-    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    bits = send(bitmap_of(spans.select("doc").distinct(), "doc"))
+    grouped = spans.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    n = spans.select(F.approx_count_distinct("doc")).first()[0]
+    bits = send(bitmap_of(spans.select("doc").distinct(), "doc", n))
     texts = _packed(rows, bits, digest)
-    return _removal(texts.join(grouped, texts["_id"] == grouped["doc"], "left"), digest)
+    found = (texts["_id"] == grouped["doc"]) & (texts["_k"] == grouped["k"])
+    return _removal(texts.join(grouped, found, "left"), digest)
 
 
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:

@@ -8,14 +8,16 @@ sequence ``i`` is row ``i % ROWS`` of batch ``i // ROWS``, read as a view of the
 mapped file without a copy.  A second stream beside it holds the documents
 (doc_id, start, n_tokens).  Shards follow each other in ascending doc_id order.
 
-Documents are dealt out by ranges of doc_id (ties also by the text's hash, so a
-repeated id does not fill one task) and sorted inside them.  A task writes files
+Texts are encoded where they are read; their ids are dealt out by ranges of doc_id
+(ties also by the text's hash, so a repeated id does not fill one task) and sorted
+inside them.  A task writes files
 under names of its own and returns them; only the manifest of the tasks that
 counted names what is read, so lost or repeated tasks leave no trace in it.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,12 +25,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.llm.common import arrow_rows, materialize, shared_path
-from tilewright.llm.ragged import UnitCache, encode_rows, portions
+from tilewright.llm.common import SPACES, materialize, shared_path, text_batches
+from tilewright.llm.ragged import encode_rows, portions, take
+from tilewright.llm.shingles import SPACE, text_bytes
 
 SEQUENCE = 1024
 ROWS = 256
@@ -126,73 +130,127 @@ class Shard:
             yield doc, start, (np.concatenate(parts) if len(parts) != 1 else parts[0]).astype("<u4")
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Letters whose words are encoded many at a time, if the tokenizer agrees that
+#: they stay letters: ASCII, Latin with accents, Greek and Cyrillic.
+_LETTERS = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x180), *range(0x391, 0x3CA), *range(0x410, 0x450)]
 
 
 class WordEncoder:
     """Encodes words with a lower-casing tokenizer whose words end in marked tokens.
 
-    A word of letters makes one pre-token, and a mark of ``MARKS`` after it one
-    more, so both are encoded apart, A-Z lowered.  Many words of letters are
-    encoded as one text and cut apart at the tokens that end a pre-token; a count
-    that does not come out, like any other word, goes word by word.
+    A word of plain letters makes one pre-token, and a run of ``MARKS`` after it
+    one more, so both are encoded apart.  Many words of plain letters are encoded
+    as one text and cut apart at the tokens that end a pre-token; a count that
+    does not come out, like any other word, goes word by word.  A letter is plain
+    if the tokenizer itself cuts it from a mark: some letters turn into a letter
+    and a combining sign, which would join the mark.
     """
 
-    MARKS = frozenset(".,;:!?")
-    TEXT = 2000
+    MARKS = '.,;:!?"#$%&()*+/<=>@[]^_`{|}~'
+    TEXT = 500
+    KNOWN = 1_500_000  # words of plain letters that are remembered between batches
 
     def __init__(self, tokenizer_file: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tok = Tokenizer.from_file(tokenizer_file)
-        self.vocabulary = self.tok.get_vocab_size()
-        self.ends = np.zeros(self.vocabulary, bool)
+        # lower-case ASCII letters pass the normaliser and the pre-tokenizer as they are
+        self.quick = Tokenizer.from_file(tokenizer_file)
+        self.quick.normalizer, self.quick.pre_tokenizer = Sequence([]), WhitespaceSplit()
+        self.known, self.store, self.size = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size = self.tok.get_vocab_size()
+        self.id_type = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.ends = np.zeros(size, bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.letters = UnitCache(self._letters, 400_000)
-        self.marks = {m: self._single([m])[0] for m in self.MARKS}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _single(self, words: list[str]) -> list[bytes]:
-        return [np.array(x, np.int32).tobytes() for x in self._ids(words)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), self.TEXT):
-            part = words[at : at + self.TEXT]
-            ids = np.array(self._ids([" ".join(part)])[0], np.int32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(part) or cut[-1] != len(ids):
-                out += self._single(part)
-                continue
-            data, cut = ids.tobytes(), (4 * cut).tolist()
-            out += [data[a:b] for a, b in zip([0, *cut], cut)]
-        return out
-
-    def __call__(self, words: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(words)
-        plain, bases, ends, rest = [], [], [], []
-        for i, w in enumerate(words):
-            if w.isalpha():
-                end = ""
-            elif w[-1:] in self.MARKS and w[:-1].isalpha():
-                w, end = w[:-1], w[-1]
+        plain = "".join(c for c in map(chr, _LETTERS) if c.isalpha() and self._plain(c))
+        self.plain, self.simple = plain, f"^[{plain}]+[{re.escape(self.MARKS)}]*$"
+
+    def _plain(self, c: str) -> bool:
+        text = self.tok.normalizer.normalize_str(f"a{c}a{c}.") if self.tok.normalizer else f"a{c}a{c}."
+        cut = [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        return len(cut) == 2 and cut[0].isalpha() and cut[1] == "."
+
+    @staticmethod
+    def _ids(tok, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _single(self, words: list[str]) -> list[np.ndarray]:
+        return self._ids(self.tok, words)
+
+    def _together(self, words: pa.StringArray, tok) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        ids, sizes = [], []
+        starts = range(0, len(words), self.TEXT)
+        texts = [" ".join(words.slice(at, self.TEXT).to_pylist()) for at in starts]
+        for at, found in zip(starts, self._ids(tok, texts)):
+            n = min(self.TEXT, len(words) - at)
+            cut = np.flatnonzero(self.ends[found]) + 1
+            if len(cut) == n and cut[-1] == len(found):
+                ids.append(found), sizes.append(np.diff(cut, prepend=0))
             else:
-                rest.append(i)
-                continue
-            plain.append(i), ends.append(end), bases.append(w.lower() if w.isascii() else w.translate(_LOWER))
-        marks = self.marks | {"": b""}
-        for i, ids, end in zip(plain, self.letters.of_all(bases), ends):
-            out[i] = ids + marks[end]
-        for i, ids in zip(rest, self._single([words[i] for i in rest])):
-            out[i] = ids
+                each = self._single(words.slice(at, n).to_pylist())
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return ids, sizes
+
+    def _bases(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(store of ids, start and number of each) of different words of plain letters."""
+        at = pc.index_in(words, value_set=self.known) if len(self.known) else pa.nulls(len(words), pa.int32())
+        new = words.filter(pc.is_null(at))
+        ascii_ = pc.string_is_ascii(new)
+        groups = [(new.filter(ascii_), self.quick), (new.filter(pc.invert(ascii_)), self.tok)]
+        done = [self._together(w, tok) for w, tok in groups]
+        ids, sizes = ([x for g in done for x in g[i]] for i in (0, 1))
+        self.known = pa.concat_arrays([self.known, *[w for w, _ in groups]])
+        self.store, self.size = np.concatenate([self.store, *ids]), np.concatenate([self.size, *sizes])
+        starts = np.cumsum(self.size) - self.size
+        at = pc.index_in(words, value_set=self.known).to_numpy()
+        out = self.store, starts[at], self.size[at]
+        if len(self.known) > self.KNOWN:
+            # start again with the words in use
+            self.known, self.store, self.size = words, take(*out), out[2]
         return out
 
+    def __call__(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each); white space at their ends counts for nothing."""
+        words = pc.utf8_rtrim(words, SPACES)
+        simple = pc.match_substring_regex(words, self.simple)
+        some = words.filter(simple)
+        marks = pc.utf8_ltrim(some, self.plain).dictionary_encode()
+        bases = pc.ascii_lower(pc.utf8_rtrim(some, self.MARKS)).dictionary_encode()
+        flat, base_starts, size = self._bases(bases.dictionary)
+        rest = self._single(words.filter(pc.invert(simple)).to_pylist())
+        # one store of ids: the bases, then the marks, then the other words
+        more = [np.zeros(0, np.int32), *self._single(marks.dictionary.to_pylist()), *rest]
+        store = np.concatenate([flat, *more])
+        lengths = np.concatenate([size, [len(x) for x in more]]).astype(np.int64)
+        starts = np.concatenate([base_starts, len(flat) + np.cumsum(lengths[len(size) :]) - lengths[len(size) :]])
+        simple = simple.to_numpy(zero_copy_only=False)
+        part = np.zeros((len(words), 2), np.int64)  # the two parts of each word in the store
+        part[simple, 0] = bases.indices.to_numpy()
+        part[simple, 1] = len(size) + 1 + marks.indices.to_numpy()
+        part[~simple, 0] = len(size) + 1 + len(marks.dictionary) + np.arange(len(rest))
+        part[~simple, 1] = len(size)
+        return take(store, starts[part].ravel(), lengths[part].ravel()), lengths[part].sum(1)
+
+
+def word_slices(text: pa.Array) -> pa.ListArray:
+    """Each text's words with the white space after them (and the white space that
+    a text begins with), as slices of the texts' own bytes."""
+    buf, rows = text_bytes(text)
+    blank = SPACE[buf]
+    cut = ~blank
+    cut[1:] &= blank[:-1]
+    cut[rows[:-1][rows[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(cut)
+    strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(buf))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, rows), pa.int32()), strings)
+
 
 @cache
 def _encoder(tokenizer_file: str) -> WordEncoder:
@@ -200,6 +258,32 @@ def _encoder(tokenizer_file: str) -> WordEncoder:
     return WordEncoder(tokenizer_file)
 
 
+def _encoded(rows: DataFrame, tokenizer_file: str, bounds: list[int], end_id: int) -> DataFrame:
+    """part, doc_id, h, ids (binary numbers of ``id_type``) from doc_id, h, text.
+
+    ``part``: the range of doc_id.  An id that fills several ranges, so that it is
+    a bound more than once, is dealt over them by ranges of h.
+    """
+    edges = np.array(bounds, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _encoder(tokenizer_file)
+        for b in batches:
+            text = pc.fill_null(b.column("text"), "")
+            ids, n = encode_rows(word_slices(text), units)
+            data = np.insert(ids, np.cumsum(n), end_id).astype(units.id_type)
+            cut = np.concatenate(([0], np.cumsum(n + 1))) * data.itemsize
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(cut), pa.py_buffer(data)])
+            doc = pc.fill_null(b.column("doc_id"), np.iinfo(np.int64).min).to_numpy()
+            low, high = np.searchsorted(edges, doc, "left"), np.searchsorted(edges, doc, "right")
+            # the upper 31 bits of h, from 0: times fewer than 2**31 ranges fits
+            place = (b.column("h").to_numpy() >> 33) + (1 << 30)
+            part = low + (place * np.maximum(high - low, 1) >> 31)
+            yield pa.record_batch([pa.array(part, pa.int32()), b.column("doc_id"), b.column("h"), binary.cast(pa.binary())], names=["part", "doc_id", "h", "ids"])
+
+    return text_batches(rows, "text", run, "part int, doc_id long, h long, ids binary", 8 << 20)
+
+
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
 ) -> DataFrame:
@@ -210,35 +294,33 @@ def write_tokens(
     ids come first, equal ids in the order of their texts' hashes, repeated rows
     stay.  Texts are never cut.  An empty table has an empty manifest.
     """
-    import pyarrow.compute as pc
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        writer = units = None
+        writer, part = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
-                units = _encoder(tokenizer_file)
-                name = f"{path}/{uuid.uuid4().hex}"
-                writer = ShardWriter(name, np.uint16 if units.vocabulary <= 1 << 16 else np.uint32)
-            for part in portions(batch, "text"):
-                text = pc.fill_null(part.column(1).cast(pa.large_string()), "").cast(pa.string())
-                text = pc.utf8_trim(text, " \t\n\x0b\x0c\r")
-                lists = pc.split_pattern_regex(text, r"[\x20\x09-\x0D]+")
-                ids, n = encode_rows(lists, units)
-                ends = np.cumsum(n)
-                writer.add(part.column(0), np.insert(ids, ends, end_id), n + 1)
+                kind = _encoder(tokenizer_file).id_type
+                name, part = f"{path}/{uuid.uuid4().hex}", batch.column("part")[0].as_py()
+                writer = ShardWriter(name, kind)
+            for b in portions(batch, "ids", 8 << 20):
+                data, cut = text_bytes(b.column("ids"))
+                writer.add(b.column("doc_id"), np.frombuffer(data.tobytes(), kind), np.diff(cut) // kind.itemsize)
         if writer is not None:
             writer.close()
-            row = (TaskContext.get().partitionId(), name, writer.n_docs, writer.n_tokens)
+            row = (part, name, writer.n_docs, writer.n_tokens)
             yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "path", "n_docs", "n_tokens"])
 
-    arrow_rows(docs.sparkSession, 4000)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    h = F.xxhash64("text")
-    rows = rows.repartitionByRange(F.col("doc_id"), h).sortWithinPartitions(F.col("doc_id"), h, "text")
+    spark = docs.sparkSession
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    # ranges from the ids alone: the texts are read once, and only ids are shuffled
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)] or [0.5]
+    found = docs.select(F.percentile_approx(doc_id, shares, max(10_000, 20 * n))).first()[0] or []
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    rows = _encoded(rows, tokenizer_file, found[: n - 1], end_id)
+    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "h", "ids")
     manifest = materialize(rows.mapInArrow(write, _MANIFEST), "token-manifest")
     # one row a shard
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
