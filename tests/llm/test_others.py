@@ -99,10 +99,36 @@ def test_nearest_neighbours(spark):
 
 @pytest.mark.parametrize("bits", [16, 64, 70])
 def test_pigeonhole_finds_all(bits):
+    """The buckets of all substrings together find every row within the radius, once."""
     rng = np.random.RandomState(bits)
     v = rng.randn(400, bits)
     codes = mih.encode(v, np.eye(bits))
-    index, words = mih.BlockIndex(codes), mih.as_words(codes).T
+    words = mih.as_words(codes).T
     signs = v >= 0
-    for radius in (0, 3, bits // 4, bits // 2):
-        assert index.within(codes[7], words[7], radius).tolist() == np.flatnonzero((signs ^ signs[7]).sum(1) <= radius).tolist()
+    for radius in (0, 3, bits // 4, bits // 2, bits):
+        found = np.concatenate([mih.Bucket(codes, j).within(codes[7], words[7], radius) for j in range(codes.shape[1])])
+        assert sorted(found.tolist()) == np.flatnonzero((signs ^ signs[7]).sum(1) <= radius).tolist()
+
+
+@pytest.mark.parametrize("n", range(21, 120, 14))
+def test_equal_vectors_rank_by_id(n):
+    v = np.tile(np.random.RandomState(n).randn(64), (n, 1))
+    ids = np.random.RandomState(n).permutation(n)
+    found, scores = mih.best_of(ids, v, v[0], 20)
+    assert found.tolist() == list(range(20)) and len(set(scores.tolist())) == 1
+
+
+def test_nearest_in_split_buckets(spark, monkeypatch):
+    """Buckets and queries that are dealt over several tasks, many equal vectors, too few within the radius."""
+    monkeypatch.setattr(mih, "BASE_BLOCK", 64)
+    monkeypatch.setattr(mih, "QUERY_BLOCK", 5)
+    rng = np.random.RandomState(4)
+    v = rng.randn(600, 40)
+    v[100:300] = v[100]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = {}
+    for r in mih.search(df, recall=0.2).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(out) == list(range(0, 600, 20))
+    assert all([n for n, _ in sorted(found)] == list(range(1, 21)) for found in out.values())
+    assert [d for _, d in sorted(out[100])] == list(range(101, 121))
