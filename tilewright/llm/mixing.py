@@ -157,7 +157,9 @@ def _copies(placed: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def taken(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, **cols) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``.
+    """doc_id, size, source_size, target, taken, first_slot, last_slot for every row
+    of ``docs``: the slots of the schedule in which its first and its last copy
+    begin (null: it is not taken).
 
     Null text has size 0 and takes no part; a null source is a source of its
     own, placed last.  Repeated rows are separate rows.  An empty table gives an
@@ -168,14 +170,17 @@ def taken(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS,
     end = F.least(F.col("at") + F.col("size"), F.col("quota"))
     parts = _copies(placed.filter("size > 0"), max_epochs).withColumn("end", end)
     parts = parts.select(
-        "_rid", "sidx", "at", "end", "quota",
+        "_rid", "sidx", "at", "end", "quota", F.floor(F.col("at") / block).alias("begins"),
         F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("block"),
     )
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    got = parts.join(table, ["sidx", "block"]).groupBy("_rid").agg(F.sum(words).alias("taken"))
+    slot = F.when(F.col("block") == F.col("begins"), F.col("slot"))
+    got = parts.join(table, ["sidx", "block"]).groupBy("_rid")
+    got = got.agg(F.sum(words).alias("taken"), F.min(slot).alias("first_slot"), F.max(slot).alias("last_slot"))
     return placed.join(got, "_rid", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.col("first_slot").cast("long").alias("first_slot"), F.col("last_slot").cast("long").alias("last_slot"),
+    )
 
 
 def scheduled(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, **cols) -> DataFrame:
@@ -220,13 +225,34 @@ with x as (
     ((total - coalesce(sum(cap) over (order by cap / w, sidx rows between unbounded preceding and 1 preceding), 0))::double
      / sum(w) over (order by cap / w, sidx rows between current row and unbounded following)) lev from w
 ), t as (
-  select source, source_size, least(cap::double, w * (min(case when lev <= ratio then {'r': ratio, 's': sidx, 'l': lev} end) over ()).l) target from l
+  select source, sidx, source_size, total,
+    least(cap::double, w * (min(case when lev <= ratio then {'r': ratio, 's': sidx, 'l': lev} end) over ()).l) target from l
+), u as (
+  select *, greatest(1, ceil(total / 262144.0)::bigint) size,
+    sum(target) over (order by sidx) / greatest(sum(target) over (), 1e-300) hi from t
+), v as (
+  select *, ceil(total / size)::bigint slots, ceil(round(target) / size)::bigint need, coalesce(lag(hi) over (order by sidx), 0) lo,
+    case when lead(sidx) over (order by sidx) is null then 2 else hi end upto from u
+), h as (
+  select sidx, slot, need, row_number() over (partition by sidx order by slot) - 1 block
+  from (select slot, (slot + 0.5::double) * 0.6180339887498949::double y from (select unnest(range((select any_value(slots) from v))) slot))
+  join v on y - floor(y) >= lo and y - floor(y) < upto and target > 0
+), b as (
+  select sidx, block, slot from h where block < need
+  union all
+  select sidx, block, any_slots + block from (
+    select v.sidx, slots any_slots, unnest(range(coalesce(got, 0), need)) block
+    from v left join (select sidx, count(*) got from h group by sidx) c on v.sidx = c.sidx where target > 0)
 ), p as (
-  select x.doc_id, size, source_size, target, round(target)::bigint q,
-    coalesce(sum(size) over (partition by x.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint a
-  from x join t on x.source is not distinct from t.source
+  select x.doc_id, x.size, source_size, target, round(target)::bigint q, t.sidx, t.size bs,
+    coalesce(sum(x.size) over (partition by x.source order by h, doc_id, x.size rows between unbounded preceding and 1 preceding), 0)::bigint a
+  from x join v t on x.source is not distinct from t.source
+), z as (
+  select *, a + source_size * case when a + 2 * source_size < q then 2 when a + source_size < q then 1 else 0 end la from p
 )
-select doc_id, size, source_size, target,
+select doc_id, z.size, source_size, target,
   (greatest(0, least(a + size, q) - a) + greatest(0, least(a + size + source_size, q) - a - source_size)
-   + greatest(0, least(a + size + 2 * source_size, q) - a - 2 * source_size))::bigint taken
-from p"""
+   + greatest(0, least(a + size + 2 * source_size, q) - a - 2 * source_size))::bigint taken,
+  b1.slot::bigint first_slot, b2.slot::bigint last_slot
+from z left join b b1 on z.sidx = b1.sidx and size > 0 and a < q and b1.block = a // bs
+  left join b b2 on z.sidx = b2.sidx and size > 0 and a < q and b2.block = la // bs"""
