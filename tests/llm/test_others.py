@@ -132,3 +132,30 @@ def test_nearest_in_split_buckets(spark, monkeypatch):
     assert sorted(out) == list(range(0, 600, 20))
     assert all([n for n, _ in sorted(found)] == list(range(1, 21)) for found in out.values())
     assert [d for _, d in sorted(out[100])] == list(range(101, 121))
+
+
+def test_long_list_of_urls_is_joined(spark):
+    pages = spark.createDataFrame(URLS, "page_id long, url string")
+    rules = urlfilter.rules_frame(spark)
+    by_filter = sorted(map(tuple, urlfilter.judge_urls(pages, rules).collect()), key=repr)
+    assert sorted(map(tuple, urlfilter.judge_urls(pages, rules, max_listed=2).collect()), key=repr) == by_filter
+
+
+def test_long_host_and_path(spark):
+    """8 KB of labels make as many keys as the list has shapes."""
+    host = ".".join(["a"] * 4000)
+    urls = [(1, f"http://{host}.com/en/{'x' * 8000}"), (2, f"http://{host}/en/"), (3, f"http://{'b' * 8000}.net/de/")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.op8_url_filters(pages).collect()}
+    assert got == {1: ("com/en/", "block"), 2: (None, "allow"), 3: ("net/de/", "allow")}
+
+
+def test_long_conversation(spark):
+    """Thousands of turns: windows are cut by windows over turns, each turn comes once as new."""
+    data = [(1, i, ("system", "user", "assistant")[0 if i == 0 else 1 + i % 2], f"turn {i} " + "w " * (i % 7)) for i in range(6000)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    (got,) = chat.read_back(chat.windows(df)).collect()
+    assert [(t.i, t.role, t.text, t.loss) for t in got.turns] == [(i, r, x, r == "assistant") for _, i, r, x in data]
+    out = chat.windows(df).collect()
+    assert len(out) > 50 and all(r.segments[0].i == 0 for r in out)
+    assert max(len(r.segments) for r in out) < 250

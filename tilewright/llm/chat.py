@@ -59,8 +59,9 @@ def windows(
 
     Turns are ordered by turn, then role, then text (ties, repeated rows).  Null
     role or text: empty.  A null conversation id is a conversation.  Extra
-    columns are not read.  A conversation's turns stand in one row, as its
-    digest or any window over its history needs them together.
+    columns are not read.  A long conversation has many windows, each of bounded
+    size unless one turn is over the budget or the system turn is long: the budget
+    bounds the span, and history and system turn come on top.
     """
     rows = turns.select(
         F.col(f"`{conv_col}`").alias("conv_id"),
@@ -71,29 +72,29 @@ def windows(
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = F.sum("tok").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("end", upto)
-    start = F.col("end") - F.col("tok")
-    stretch = F.floor(start / budget)
+    rows = rows.withColumn("start", F.col("end") - F.col("tok"))
+    stretch = F.floor(F.col("start") / budget)
     crosses = (F.floor((F.col("end") - 1) / budget) > stretch).cast("long")
     rows = rows.select(
-        "conv_id",
+        "conv_id", "start", (2 * stretch + crosses).alias("span"), (F.col("role") == "system").alias("system"),
         F.struct(
-            "i", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss"),
-            (F.col("role") == "system").alias("system"), start.alias("start"), (2 * stretch + crosses).alias("span"),
+            "i", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss"), "start",
         ).alias("t"),
     )
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    convs = convs.select(
-        "conv_id", "turns", F.get(F.filter("turns", lambda t: t["system"]), F.lit(0))["i"].alias("sys"),
-        F.explode(F.array_distinct(F.transform("turns", lambda t: t["span"]))).alias("span"),
-    )
-    first = F.get(F.filter("turns", lambda t: t["span"] == F.col("span")), F.lit(0))
-    convs = convs.withColumn("first", F.struct(first["i"].alias("i"), first["start"].alias("start")))
-    chosen = F.filter(
-        "turns",
-        lambda t: (t["span"] == F.col("span"))
-        | ((t["i"] < F.col("first.i")) & ((t["i"] == F.col("sys")) | (t["start"] >= F.col("first.start") - history))),
+    # each turn's history holds at most ``history`` tokens, so at most that many turns
+    by_start = Window.partitionBy("conv_id").orderBy("start")
+    rows = rows.withColumn("new", ~F.lag("span").over(by_start).eqNullSafe(F.col("span")))
+    past = F.collect_list("t").over(by_start.rangeBetween(-history, -1))
+    rows = rows.withColumn("past", F.when(F.col("new"), past))
+    spans = rows.groupBy("conv_id", "span").agg(
+        F.sort_array(F.collect_list("t")).alias("own"), F.sort_array(F.flatten(F.collect_list("past"))).alias("past")
     )
-    convs = convs.select("conv_id", "span", F.col("first.i").alias("from"), chosen.alias("segs"))
+    system = rows.filter("system").groupBy("conv_id").agg(F.min("t").alias("sys"))
+    spans = spans.alias("x").join(system.alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")), "left")
+    first = F.col("own")[0]
+    apart = F.col("sys").isNotNull() & (F.col("sys.start") < first["start"] - history)
+    lead = F.when(apart, F.array("sys")).otherwise(F.array().cast("array<struct<i:int,role:string,text:string,loss:boolean,start:bigint>>"))
+    convs = spans.select("x.conv_id", "span", first["i"].alias("from"), F.concat(lead, "past", "own").alias("segs"))
     fixed = len(TURN) + len(TEXT) + len(END)
     size = lambda s: F.length(s["role"]) + F.length(s["text"]) + fixed
     text = F.array_join(
@@ -117,7 +118,8 @@ def windows(
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (i, role, text, loss in order, each once), formatted_chars."""
+    """conv_id, turns (i, role, text, loss in order, each once), formatted_chars.
+    A conversation's turns stand in one row, as a digest over all of them needs."""
     one = formatted.select("conv_id", "text", F.length("text").alias("chars"), F.filter("segments", lambda s: ~s["repeat"]).alias("segs"))
     role_at = lambda s: s["at"] + len(TURN) + 1
     text_at = lambda s: s["at"] + len(TURN) + s["role_len"] + len(TEXT) + 1
@@ -138,11 +140,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat_formatting(conversations: DataFrame) -> DataFrame:
-    spark = conversations.sparkSession
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
-    )
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    one = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), said)
+    extra = conversations.sparkSession.range(1).select(F.inline(F.array(one(0, "user"), one(1, "assistant"))))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     back = read_back(windows(rows))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

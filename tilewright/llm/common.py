@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,16 +24,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach (spark.checkpoint.dir).
 
-    Only where the session has none (tests, local runs) a temporary one is set.
+    Only where the session has none and its master is local (tests) a temporary one
+    is set; on a cluster a folder of one machine would lose data.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java.isDefined():
             found = java.get()
-        else:
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             found = "file://" + tempfile.mkdtemp(prefix="tilewright-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")
 
 

@@ -8,7 +8,8 @@ universe the answer is then exact, and no join is needed to look keys up.
 
 All filters together take a few bytes a listed key and level (the first is sized
 so that about as many keys pass by chance as are listed), so what is sent with
-the plan is bounded by the list, not by the corpus; ``MAX_LISTED`` checks it.
+the plan is bounded by the list, not by the corpus.  A list of more than
+``MAX_LISTED`` keys is not sent at all: its keys are joined.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import materialize, release
+
 #: (action, host, path) of the contract's rules.
 RULES = (
     ("block", "com", "/en/"),
@@ -28,7 +31,6 @@ RULES = (
     ("block", "org", "/es/"),
 )
 MAX_LISTED = 4_000_000
-_LEVELS = 24
 
 
 @dataclass
@@ -64,15 +66,13 @@ def build_bloom(keys: DataFrame, n: int, rate: float, seed: int) -> Bloom:
     k = min(63, max(1, round(-math.log2(rate))))
     m = max(64, math.ceil(n * k / math.log(2) / 8) * 8)
     empty = Bloom(m, k, seed, b"")
-    at = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("at"))
-    rows = (
-        at.select(F.floor(F.col("at") / 8).cast("int").alias("byte"), F.expr("shiftleft(1, cast(pmod(at, 8) as int))").alias("bit"))
-        .groupBy("byte").agg(F.bit_or("bit").alias("v")).collect()
-    )
-    bits = bytearray(m // 8)
+    at = keys.select(F.explode(F.array(*[p + 1 for p in empty.positions(F.col("key"))])).alias("at"))  # Spark counts bits from 1
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = bytearray(m // 8 + (1 << 12))
     for r in rows:
-        bits[r["byte"]] = r["v"]
-    return Bloom(m, k, seed, bytes(bits))
+        begin = (r["part"] - 1) * len(r["bits"])
+        bits[begin : begin + len(r["bits"])] = r["bits"]
+    return Bloom(m, k, seed, bytes(bits[: m // 8]))
 
 
 @dataclass
@@ -92,8 +92,6 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     not occur in the universe, and the universe may repeat keys."""
     listed = listed.select("key").distinct()
     n = listed.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} keys are listed; the filters are made for {MAX_LISTED} at most")
     if n == 0:
         return Cascade()
     total = universe.agg(F.approx_count_distinct("key")).first()[0]
@@ -102,15 +100,15 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     inside = listed
     wrong = universe.filter(out.levels[0].passes(F.col("key"))).select("key").distinct()
     wrong = wrong.join(listed, "key", "left_anti")
-    while len(out.levels) < _LEVELS:
-        wrong = wrong.checkpoint()
-        left = wrong.count()
+    while True:
+        now = materialize(wrong, "url-keys")
+        left = now.count()
         if left == 0:
+            release(now, inside)
             return out
-        level = build_bloom(wrong, left, 0.25, len(out.levels))
+        level = build_bloom(now, left, 0.25, len(out.levels))
         out.levels.append(level)
-        wrong, inside = inside.filter(level.passes(F.col("key"))), wrong
-    raise RuntimeError("the cascade did not end")
+        wrong, inside = inside.filter(level.passes(F.col("key"))), now
 
 
 def lower_ascii(c: Column) -> Column:
@@ -125,25 +123,30 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
-def key_universe(host: Column, path: Column, lengths: list[int]) -> Column:
-    """The keys of a URL: each domain suffix with each prefix of a listed length."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    prefixes = F.filter(
-        F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull()
-    )
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+def key_universe(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The keys of a URL that a listed key of one of these shapes (labels of the
+    host, length of the path) could be: as many as there are shapes, at most."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    keys = [
+        F.when((labels >= n) & (F.length(path) >= size), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, size)))
+        for n, size in shapes
+    ]
+    return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else F.array().cast("array<string>")
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    rows = [(a, h.lower() + p, len(p)) for a, h, p in rules]
-    return spark.createDataFrame(rows, "action string, key string, path_length int")
+    rows = [F.struct(F.lit(a).alias("action"), F.lit(h.lower() + p).alias("key"), F.lit(len(p)).alias("path_length")) for a, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow"
+    pages: DataFrame,
+    rules: DataFrame,
+    *,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    default: str = "allow",
+    max_listed: int = MAX_LISTED,
 ) -> DataFrame:
     """id, host, path, rule, verdict for every row of ``pages``.
 
@@ -151,18 +154,18 @@ def judge_urls(
     rule that fits wins (of equal lengths the greater string; of two actions for
     one key, block); ``default`` is the verdict where none fits.  A null url, or
     one without ``://``, has empty host and path and fits no rule with a host.
-    Repeated rows are judged one by one; other columns are not read.
+    Repeated rows are judged one by one; other columns are not read.  A url makes
+    one key for each shape of the listed keys, however long it is.
     """
-    spark = pages.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        from tilewright.llm.common import shared_dir
-
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())
+    hosts = F.expr("substring(key, 1, length(key) - path_length)")
+    rules = rules.withColumn("labels", F.length(hosts) - F.length(F.replace(hosts, F.lit("."), F.lit(""))) + 1)
+    shapes = sorted((r[0], r[1]) for r in rules.select("labels", "path_length").distinct().collect())
     parts = pages.select(
         F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path")
     )
-    keyed = parts.withColumn("keys", key_universe(F.col("host"), F.col("path"), lengths))
+    keyed = parts.withColumn("keys", key_universe(F.col("host"), F.col("path"), shapes))
+    if rules.count() > max_listed:
+        return _joined(keyed, rules, default)
     universe = keyed.select(F.explode("keys").alias("key"))
     any_rule = build_cascade(rules.select("key"), universe)
     block = build_cascade(rules.filter("action = 'block'").select("key"), rules.select("key"))
@@ -173,6 +176,16 @@ def judge_urls(
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
+def _joined(keyed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same by a join on the keys."""
+    stored = materialize(keyed.withColumn("_rid", F.monotonically_increasing_id()), "url-pages")
+    actions = rules.groupBy("key").agg(F.max(F.col("action") == "block").alias("blocked"))
+    keys = stored.select("_rid", F.explode("keys").alias("key")).join(actions, "key")
+    best = keys.groupBy("_rid").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("k"), "blocked")).alias("best"))
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best.blocked"), "block").otherwise("allow")
+    return stored.join(best, "_rid", "left").select("page_id", "host", "path", F.col("best.k").alias("rule"), verdict.alias("verdict"))
+
+
 def op8_url_filters(pages: DataFrame) -> DataFrame:
     return judge_urls(pages, rules_frame(pages.sparkSession))
 
