@@ -125,17 +125,26 @@ def test_quality_lines_leave_the_text(spark):
 
 
 def brute_lines(data, n):
+    """(n_lines, n_removed, n_runs, longest_run) of each document, by definition."""
     seqs = {}
     for d, t in data:
         seqs[d] = [x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
     first = {}
     for d in sorted(seqs):
-        for i in range(len(seqs[d]) - n + 1):
-            first.setdefault(tuple(seqs[d][i : i + n]), (d, i))
-    gone = {}
+        for i in range(len(seqs[d])):
+            for h in range(1, len(seqs[d]) - i + 1):
+                first.setdefault(tuple(seqs[d][i : i + h]), (d, i))
+    out = {}
     for d, s in seqs.items():
-        gone[d] = {i + k for i in range(len(s) - n + 1) if first[tuple(s[i : i + n])] < (d, i) for k in range(n)}
-    return {d: (len(seqs[d]), len(gone[d])) for d in seqs}
+        gone, runs, longest, covered = set(), 0, 0, 0
+        for i in range(len(s)):
+            best = max((h for h in range(n, len(s) - i + 1) if first[tuple(s[i : i + h])] < (d, i)), default=0)
+            gone |= set(range(i, i + best))
+            longest = max(longest, best)
+            runs += i + best > covered and best > 0
+            covered = max(covered, i + best)
+        out[d] = (len(s), len(gone), runs, longest)
+    return out
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
@@ -143,7 +152,7 @@ def test_line_dedup(spark, n):
     rng = np.random.RandomState(n)
     data = [(i, "\n".join(rng.choice(["aa", "bb", "cc", "", "  dd "], rng.randint(0, 12)))) for i in range(40)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.d: (r.n_lines, r.n_removed) for r in linededup.dedup(df, min_lines=n).select("row.doc_id", "*").withColumnRenamed("doc_id", "d").collect()}
+    got = {r.d: (r.n_lines, r.n_removed, r.n_runs, r.longest_run) for r in linededup.dedup(df, min_lines=n).select("row.doc_id", "*").withColumnRenamed("doc_id", "d").collect()}
     assert got == brute_lines(data, n)
 
 
@@ -154,6 +163,22 @@ def test_line_dedup_text(docs):
     assert out[20].n_removed == 0
 
 
+def test_runs_copied_from_two_places(spark):
+    """A, B and B, C stand apart before A, B, C does: only the last copy is a run of three."""
+    data = [(1, "a\nb\nx"), (2, "b\nc\ny"), (3, "a\nb\nc"), (4, "z\na\nb\nc"), (None, "q\nr"), (None, "q\nr"), (5, "q\nr\nq\nr")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r.row.doc_id, r.n_runs, r.longest_run, r.kept_text) for r in linededup.dedup(df).collect()), key=repr)
+    want = [(1, 0, 0, "a\nb\nx"), (2, 0, 0, "b\nc\ny"), (3, 2, 2, ""), (4, 1, 3, "z"), (5, 2, 2, ""), (None, 0, 0, "q\nr"), (None, 0, 0, "q\nr")]
+    assert got == sorted(want, key=repr)
+
+
+def test_line_dedup_long_texts(spark):
+    text = "\n".join(f"line {i}" for i in range(5000))
+    df = spark.createDataFrame([(1, text), (2, "own\n" + text)], "doc_id long, text string")
+    got = {r.row.doc_id: (r.kept_text, r.n_removed, r.n_runs, r.longest_run) for r in linededup.dedup(df).collect()}
+    assert got == {1: (text, 0, 0, 0), 2: ("own", 5000, 1, 5000)}
+
+
 def test_long_single_lines(spark):
     """A long line alone goes where it was before, also from texts of one line; short lines stay."""
     long, other, short = passage(31, 50), passage(32, 60), passage(33, 49)
@@ -220,6 +245,33 @@ def test_jaccard_null_id_and_counts(docs):
     assert sorted((r.doc_id, r.n_shingles) for r in out if r.doc_id) == sorted((r[0], len(shingles(r[1], 4))) for r in texts() if r[0])
 
 
+def test_words_of_structure_stay_apart(spark):
+    """Two words of 1,024 letters that any sum of powers modulo 2**64 takes for one."""
+    a = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    one, two = "".join(a), "".join("ab"["ab".index(c) ^ 1] for c in a)
+    df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.class_id) for r in jaccard.join(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1)}
+
+
+def test_long_lists(spark, monkeypatch):
+    """Lists that go through blocks and lots, against brute force."""
+    monkeypatch.setattr(jaccard, "_SHORT", 4)
+    monkeypatch.setattr(jaccard, "_LIST_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "_STARS", 1)
+    rng = np.random.RandomState(8)
+    base = passage(1, 60).split(" ")
+    data = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randint(len(w))] = "x%d" % rng.randint(30)
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, shingle=2, percent=75).collect()}
+    assert got == brute_components(data, 2, 75)
+
+
 def test_representatives(docs):
     kept = jaccard.keep_representatives(docs)
     assert kept.columns == docs.columns
@@ -255,6 +307,7 @@ def brute_targets(sizes, weights):
 
 def test_mixing(docs):
     out = mixing.taken(docs, slots=64).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) and (r.first_slot or 0) <= (r.last_slot or 0) for r in out)
     sizes, taken, targets = Counter(), Counter(), {}
     by_id = {(r[0], r[1]): r[3] for r in texts()}
     for r in texts():
@@ -386,6 +439,20 @@ def test_token_files(spark, docs):
     assert sum(shard.sequence(i, "mask").to_pylist().count(True) for i in range(sum(b.num_rows for b in shard.batches))) == len(flat)
 
 
+def test_letters_and_marks_equal_the_library():
+    """Every letter, alone and after another, before a mark: some turn into a letter and a sign that joins it."""
+    import pyarrow as pa
+
+    enc = tokenfile.WordEncoder(tokenizer(WORDS))
+    letters = [c for c in map(chr, range(0x41, 0x30000)) if c.isalpha()]
+    ws = [w for k, c in enumerate(letters) for w in (f"{c}.", f"TEK{c}{'.,;:!?'[k % 6]}")]
+    ws += ["don't.", "a.b.", "x…", "12.", "<|endoftext|>", "end<|endoftext|>.", "a1", "", " "]
+    ids, n = enc(pa.array(ws))
+    cut = np.cumsum([0, *n])
+    want = [e.ids for e in enc.tok.encode_batch(ws, add_special_tokens=False)]
+    assert [w for w, a, b, i in zip(ws, cut, cut[1:], want) if ids[a:b].tolist() != i] == []
+
+
 def brute_repeats(data, length):
     first, out = {}, {}
     rows_ = sorted(((-1 if d is None else d), (t or "").encode()) for d, t in data)
@@ -414,6 +481,20 @@ def test_suffix_dedup(docs, hot, monkeypatch):
     assert got == brute_repeats([(r[0], r[1]) for r in texts()], 100)
 
 
+@pytest.mark.parametrize("hot", [16_384, 1])
+def test_suffix_dedup_of_shared_ids(spark, hot, monkeypatch):
+    """Several texts under one id, and under none: what goes is told by each text."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    p, q, r = (passage(900 + i, 40) for i in range(3))
+    data = [(1, p), (30, p + " end"), (30, q), (30, q), (None, r), (None, r + " and " + p), (None, "x" * 300), (31, q[5:] + r), (30, "y " + q), (30, r + r)]
+    data += [(40, p[:120] + "1" + q[:130]), (40, p[:120] + "2" + q[:130]), (40, passage(950, 30)), (39, passage(950, 30) + "z")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {}
+    for x in suffixes.remove_repeats(df).collect():
+        got.setdefault(-1 if x.doc_id is None else x.doc_id, set()).add((x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)))
+    assert got == brute_repeats(data, 100)
+
+
 def test_collection_by_definition():
     rng = np.random.RandomState(5)
     for _ in range(40):
@@ -445,7 +526,17 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     for r in out:
         assert r.doc_id in keep and r.ids == lib.encode(keep[r.doc_id]) and r.n_pieces == len(r.ids)
-    # every source of the schedule is near its target
-    mixed = mixing.taken(spark.createDataFrame([r for r in good if r.doc_id in keep], source.schema).drop("text").withColumn("text", F.lit("")))
-    assert mixed.count() == len(keep)
-    assert len({r.doc_id for r in out}) > 0.5 * len(keep)
+    # the mix holds each document as often as its source's stream comes to it
+    source_of = {r.doc_id: r.source for r in good}
+    want, sizes = Counter(), Counter()
+    for d, t in keep.items():
+        sizes[source_of[d]] += len(words(t))
+    goal = brute_targets(dict(sizes), (5, 2, 1))
+    for s in sizes:
+        mine = sorted((d for d in keep if source_of[d] == s), key=lambda d: hashlib.md5(f"mix{d}".encode()).hexdigest())
+        at = 0
+        for d in mine * 3:
+            size = len(words(keep[d]))
+            want[d] += size > 0 and at < round(goal[s])
+            at += size
+    assert Counter(r.doc_id for r in out) == +want
