@@ -233,7 +233,8 @@ def _probe(coded: DataFrame, queries: DataFrame, dim: int, radius: int, total: i
     asked = queries.select("id", "v", "code", *place).select("id", "v", "code", "j", bucket.alias("own"))
     cells = base.groupBy("j", "b").agg(F.count("*").alias("n"))
     reach = F.get(F.array(*map(F.lit, near)), F.col("j"))
-    asked = asked.join(cells.select("j", "b"), "j").filter(F.bit_count(F.col("own").bitwiseXOR(F.col("b"))) <= reach).drop("own")
+    near_by = F.filter(F.sequence(F.lit(0), F.lit((1 << lead) - 1)), lambda b: F.bit_count(b.bitwiseXOR(F.col("own"))) <= reach)
+    asked = asked.withColumn("b", F.explode(near_by)).drop("own")
     counts = asked.groupBy("j", "b").agg(F.count("*").alias("nq"))
     cells = cells.join(counts, ["j", "b"]).select("j", "b", F.ceil(F.col("n") / BASE_BLOCK).alias("sn"), F.ceil(F.col("nq") / QUERY_BLOCK).alias("qn"))
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).alias
