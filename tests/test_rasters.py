@@ -242,3 +242,19 @@ def test_planes_and_profiles(spark, tmp_path):
     assert [r.profile is None for r in color.profile_keys(docs).orderBy("path").collect()] == [False, True, True]
     (tmp_path / "p.icc").write_bytes(b"x")
     assert catalog.first_existing(["/no", str(tmp_path / "p.icc")]) == str(tmp_path / "p.icc") and catalog.first_existing([]) is None
+
+
+def test_bands_decode_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.plans.samples import make_psd
+    from tilewright.sources import psd
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("/a.psd", make_psd(6, 64, "Rgb", 3, "Rle"))], "path string, content binary")
+        rows = psd.plane_rows(files, band=4)
+        assert rows.count() == 3 * 64 and rows.filter("error is not null").isEmpty()
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

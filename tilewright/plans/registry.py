@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,11 +220,21 @@ def r_tone_map(spark, sf):
 select vec_id,i,cast(sum(d) over (partition by vec_id order by i)%256 as int) b from y"""
 )
 def r_predictor_undo(spark, sf):
-    """Running sums modulo 256 of each row, inside the row."""
+    """Running sums modulo 256 of each row, by the decoder's own function."""
+    from tilewright.sources import psd
+
+    def run(batches):
+        for b in batches:
+            d = b.column(1)
+            width = len(d.flatten()) // max(1, len(d))  # one width for all scanlines
+            rows = psd.undo_predictor(d.flatten().to_numpy().reshape(-1, width)) if len(d) else np.zeros((0, 0))
+            cut = pa.array(np.arange(len(d) + 1) * width, pa.int32())
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(cut, pa.array(rows.ravel().astype(np.int32)))], names=["vec_id", "b"])
+
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     d = F.transform("embedding", lambda v: F.pmod(F.floor(v * 255).cast("int"), F.lit(256)))
-    run = F.aggregate(d, F.array().cast("array<int>"), lambda a, x: F.array_append(a, (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x) % 256))
-    return e.select("vec_id", F.posexplode(run).alias("i", "b"))
+    undone = e.select(F.col("vec_id").cast("long"), d.alias("d")).mapInArrow(run, "vec_id long, b array<int>")
+    return undone.select("vec_id", F.posexplode("b").alias("i", "b"))
 
 
 @query("select vec_id, x::int x, embedding[(x*64//16)+1] v from embeddings, (select unnest(range(16)) x)")
@@ -429,6 +441,167 @@ def r_psd_scanlines(spark, sf):
     return psd.plane_rows(spark.createDataFrame(files, "path string, content binary"))
 
 
+@query("select p_partkey, hex(encode('abc' || repeat('z', p_size + 2))) x from part")
+def r_run_lengths(spark, sf):
+    """Run-length coded scanlines: three literals, then one byte many times."""
+    from tilewright.sources import psd
+
+    def run(batches):
+        for b in batches:
+            rows = [psd.unpack_bits(x.as_py(), n.as_py()) for x, n in zip(b.column(1), b.column(2))]
+            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["p_partkey", "row"])
+
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    packed = F.unhex(F.concat(F.lit("02"), F.hex(F.lit("abc")), F.lpad(F.hex(255 - F.col("p_size")), 2, "0"), F.hex(F.lit("z"))))
+    rows = p.select(F.col("p_partkey").cast("long"), packed.alias("packed"), (F.col("p_size") + 5).cast("int").alias("width"))
+    return rows.mapInArrow(run, "p_partkey long, row binary").select("p_partkey", F.hex("row").alias("x"))
+
+
+@query("select c_custkey, ascii(c_name)*256 + ascii(substr(c_name, 2)) u, ascii(c_name) - 100 - case when ascii(c_name) >= 228 then 256 else 0 end s, 'ustomer' sig from customer")
+def r_big_endian(spark, sf):
+    """Numbers and signatures inside bytes."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").withColumn("b", F.encode("c_name", "UTF-8"))
+    sig = F.when(binary.starts_with(F.substring("b", 2, 9), b"ustomer"), "ustomer")
+    return c.select("c_custkey", binary.unsigned(F.col("b"), 0, 2).alias("u"), (binary.signed(F.col("b"), 0, 1) - 100).alias("s"), sig.alias("sig"))
+
+
+@query(
+    """select page_id, case when page_id%3=0 then regexp_replace(path,'/[^/]*$','') when page_id%3=1 then path
+  when regexp_extract(path,'([^/]*)$',1) like '%._%' then regexp_replace(path,'/[^/]*$','') else path end dir, lower(path) folded
+from (select page_id, regexp_replace(regexp_replace(url,'[?#].*$',''),'/$','') path from pages where url like '%://%')"""
+)
+def r_normal_directories(spark, sf):
+    """Directories of paths that are files, directories, or do not exist."""
+    p = _pages(spark, sf).filter(F.col("path").contains("://"))
+    kind = F.col("page_id") % 3
+    return p.select("page_id", paths.normalise_directory(F.col("path"), kind == 1, kind < 2).alias("dir"), paths.key(F.col("path"), fold=True).alias("folded"))
+
+
+@query(
+    """select c_custkey, concat_ws(chr(10), 'Make: '||c_name, case when c_custkey%2=0 then 'Lens: '||c_mktsegment end,
+  case when c_custkey%3=0 then chr(10)||'ISO: '||c_custkey end, case when c_custkey%5=0 then chr(10)||'Software: x' end) lines, true has_data from customer"""
+)
+def r_exif_lines(spark, sf):
+    """Metadata lines in blocks."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    k = F.col("c_custkey")
+    given = {"make": F.col("c_name"), "model": F.lit("  "), "lens": F.when(k % 2 == 0, F.col("c_mktsegment")), "iso": F.when(k % 3 == 0, k.cast("string")), "software": F.when(k % 5 == 0, "x")}
+    exif = F.struct(*[given.get(f, F.lit(None).cast("string")).alias(f) for f, _, _ in text.EXIF_FIELDS])
+    return c.select("c_custkey", F.array_join(text.exif_lines(exif), "\n").alias("lines"), text.exif_has_data(exif).alias("has_data"))
+
+
+@query("select n_nationkey, '[:a ][e:'||n_name||'][: < of ][d:'||n_regionkey||'][:.]' parts, trim(regexp_replace(n_name, '([A-Z])', ' \\1', 'g')) spaced from nation where n_name not like '% %'")
+def r_tagged_text(spark, sf):
+    """Inline tags cut into parts, and names split at capitals."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").filter(~F.col("n_name").contains(" "))
+    line = F.concat(F.lit("a <e>"), "n_name", F.lit("</> < of <d>"), F.col("n_regionkey").cast("string"), F.lit("</>."))
+    parts = F.transform(text.tagged_parts(line), lambda p: F.concat(F.lit("["), p["tag"], F.lit(":"), p["text"], F.lit("]")))
+    return n.select("n_nationkey", F.array_join(parts, "").alias("parts"), formats.display_name(F.col("n_name")).alias("spaced"))
+
+
+@query(
+    """select distinct a, b, case when b>0 then a*power(2.0::double, b-136) else 0 end rgbe from (
+  select cast(floor(l_extendedprice) as bigint)%256 a, cast(floor(l_quantity*5) as bigint)%256 b from lineitem)"""
+)
+def r_rgbe(spark, sf):
+    """Shared-exponent components as numbers."""
+    p = _pixels(spark, sf).select("a", "b").distinct()
+    return p.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), raster.rgbe_component(F.col("a"), F.col("b")).alias("rgbe"))
+
+
+@query(
+    """with p as (select p_partkey id, p_size s from part)
+select id, round_even(least(800.0/(s*37), 600.0/(s*23))*100/2,0)::int fit, case when s*37<=400 and s*23<=300 then 'OriginalImageSize' else 'FitToScreen' end as mode,
+  greatest(256, floor(least(8192,greatest(256,floor(sqrt(greatest(1,floor(s*1000003/4))))))/64)*64)::int edge,
+  round(least(100.0/(s*37), 90.0/(s*23)),9) ppu, s*2/100.0*1.5 > least(100.0/(s*37), 90.0/(s*23))*1.05 demand,
+  greatest(-greatest(0,(s*37-800)/2.0), least(greatest(0,(s*37-800)/2.0), s*11.0-300)) pan, greatest(0, least(s*3//64, 1))::int tile from p"""
+)
+def r_view_numbers(spark, sf):
+    """Fit zoom, display mode, tile edge, preview density, tile demand, panning, tile of a point."""
+    p, s = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_size")
+    ppu = raster.preview_ppu(F.lit(100.0), F.lit(90.0), s * 37, s * 23)
+    return p.select(
+        F.col("p_partkey").alias("id"), raster.fit_zoom(F.lit(800.0), F.lit(600.0), s * 37, s * 23, F.lit(2)).alias("fit"),
+        raster.initial_mode(F.lit(800), F.lit(600), s * 37, s * 23, F.lit(2)).alias("mode"), raster.tile_edge(s * 1000003).alias("edge"),
+        F.round(ppu, 9).alias("ppu"), raster.needs_tiles(s * 2, F.lit(1.5), ppu).alias("demand"),
+        raster.pan_clamp(s * 11.0 - 300, s * 37, F.lit(800)).alias("pan"), tiles.tile_at(s * 3, F.lit(64), F.lit(2)).alias("tile"),
+    )
+
+
+@query(
+    """select id, greatest(10, s)::double l, greatest(5, 20)::double t, least(60, s+30)::double r, least(40, 20+s)::double b from (select p_partkey id, p_size s from part)
+where greatest(10, s) < least(60, s+30) and greatest(5, 20) < least(40, 20+s)"""
+)
+def r_intersections(spark, sf):
+    """Common parts of rectangles; those without one have no row."""
+    p, s = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_size")
+    rect = lambda *v: F.struct(*[x.cast("double").alias(n) for x, n in zip(v, ("left", "top", "right", "bottom"))])
+    both = raster.intersect(rect(F.lit(10), F.lit(5), F.lit(60), F.lit(40)), rect(s, F.lit(20), s + 30, 20 + s))
+    return p.select(F.col("p_partkey").alias("id"), both.alias("x")).filter("x is not null").select(
+        "id", F.col("x.left").alias("l"), F.col("x.top").alias("t"), F.col("x.right").alias("r"), F.col("x.bottom").alias("b")
+    )
+
+
+@query(
+    """select id, b band, row_number() over (partition by id order by min(i)) - 1 place from (
+  select p_partkey id, p_size, generate_subscripts([p_size-20, 3, p_size%7, -1, 3, p_size], 1) i, unnest([p_size-20, 3, p_size%7, -1, 3, p_size]) b from part)
+where b >= 0 and b < p_size group by id, b"""
+)
+def r_normal_bands(spark, sf):
+    """Asked bands inside the grid, each once, in the order in which they were asked."""
+    p, s = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_size")
+    asked = F.array(s - 20, F.lit(3), s % 7, F.lit(-1), F.lit(3), s)
+    out = p.select(F.col("p_partkey").alias("id"), F.posexplode(tiles.normalise_bands(asked, s)).alias("place", "band"))
+    return out.select("id", "band", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    """with g as (select o_custkey, count(*) total, count(*) filter (where o_orderkey%3<>0) ready from orders group by 1)
+select o_custkey, ready, total, ready = total complete from g"""
+)
+def r_completion(spark, sf):
+    """Tiles that are there against the total, an order standing for a tile."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("asset_id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit("x")).alias("data"))
+    done = tiles.completion(o, o.groupBy("asset_id").agg(F.count("*").alias("total")))
+    return done.select(F.col("asset_id").alias("o_custkey"), "ready", "total", "complete")
+
+
+@query(
+    """with r as (select n_nationkey id, unnest(range(n_nationkey + 3)) y from nation),
+ t as (select id, unnest([0, 1]) tx, y, chr((65 + y)::int) c from r)
+select id asset_id, tx, y // 4 ty, string_agg(repeat(c, case when tx = 0 then 4 else 3 end), '' order by y) as data from t group by id, tx, y // 4"""
+)
+def r_plane_tiles(spark, sf):
+    """Scanlines cut into tiles of four by four."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("asset_id"))
+    rows = n.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("asset_id").cast("int") + 2)))
+    rows = rows.select("asset_id", F.lit(0).alias("plane"), F.lit("Gray").alias("role"), "y", F.encode(F.expr("repeat(char(65 + y), 7)"), "UTF-8").alias("row"))
+    dims = n.select("asset_id", F.lit(7).alias("w"), F.lit(4).alias("tile_w"), F.lit(4).alias("tile_h"))
+    return tiles.cut_tiles(rows, dims).select("asset_id", "tx", F.col("ty").cast("long").alias("ty"), F.decode("data", "UTF-8").alias("data"))
+
+
+@query(
+    """select l_suppkey, arg_min((br-r)*(br-r)+(bg-g)*(bg-g)+(bb-b)*(bb-b) < (ar-r)*(ar-r)+(ag-g)*(ag-g)+(ab-b)*(ab-b), o) inverted from (
+  select l_suppkey, l_orderkey*8+l_linenumber o, l_partkey%256 r, l_orderkey%256 g, l_linenumber b, l_partkey%99 ar, l_orderkey%77 ag, 9 ab,
+    255-l_partkey%99 br, 255-l_orderkey%77 bg, 246 bb from lineitem) group by 1"""
+)
+def r_polarity(spark, sf):
+    """Whether the inverted variant of the first sample is nearer to the baseline."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    k, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    values = {"r": k % 256, "g": o % 256, "b": n, "ar": k % 99, "ag": o % 77, "ab": F.lit(9), "br": 255 - k % 99, "bg": 255 - o % 77, "bb": F.lit(246)}
+    samples = li.select("l_suppkey", (o * 8 + n).alias("ord"), *[v.cast("long").alias(c) for c, v in values.items()])
+    return color.polarity(samples, "l_suppkey")
+
+
+@query(
+    """select id, g, least(floor((g+0.5)*w/48), w-1)::int x from (select p_partkey id, (p_size*37+5)::int w, unnest(range(48))::int g from part)"""
+)
+def r_calibration_grid(spark, sf):
+    """Where the samples of a calibration grid stand."""
+    return _rasters(spark, sf).select(F.col("asset_id").alias("id"), F.posexplode(color.sample_positions(F.col("w"))).alias("g", "x"))
+
+
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity),2) sum_qty, round(avg(l_extendedprice),4) avg_price, count(*) n from lineitem group by 1,2")
 def s_pricing_summary(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")

@@ -275,13 +275,17 @@ PLANE_ROWS = "path string, plane int, role string, y int, row binary, error stri
 
 def plane_rows(files: DataFrame, band: int | None = None) -> DataFrame:
     """Scanlines of (path, content), and one row with ``error`` for a file that
-    cannot be decoded.  With ``band`` a file is read once a band of so many rows,
-    in as many tasks, so that raw and run-length data decode in parallel."""
+    cannot be decoded.  With ``band`` a file is dealt out once a band of so many
+    rows, with a copy of its content, over many tasks, so that raw and run-length
+    data decode in parallel."""
     rows = files.select("path", "content")
     if band:
         h = F.greatest(F.lit(1), F.coalesce(header(F.col("content"))["height"], F.lit(1)).cast("int"))
         bands = F.explode(F.sequence(F.lit(0), h - 1, F.lit(band))).alias("y0")
-        rows = files.select("path", bands).repartition("path", "y0").join(files.select("path", "content"), "path")
+        spark = files.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # a fixed number, as small bands would be put together again
+        rows = files.select("path", "content", bands).repartition(tasks, "path", "y0")
     else:
         rows = rows.withColumn("y0", F.lit(0))
 
