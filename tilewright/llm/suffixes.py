@@ -465,6 +465,8 @@ def exact_copies(docs: DataFrame, length: int) -> DataFrame:
     named = docs.select("_id", F.col("_k"), F.xxhash64(F.lit(1), text).alias("h2"), n.alias("n"))
     named = named.filter(F.col("n") >= length)
     first = named.groupBy("_k", "h2", "n").agg(F.min("_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    # stored, so that the join has an exchange of its own and a hot text can be split
+    first = materialize(first, "suffix-texts")
     later = named.join(first, ["_k", "h2", "n"]).filter("_id > first")
     return later.select(F.col("_id").alias("doc"), F.col("_k").alias("k"), "n")
 
