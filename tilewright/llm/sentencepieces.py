@@ -562,7 +562,7 @@ def code(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col:
             yield pa.record_batch(cols, names=names)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return text_batches(rows, "text", run, "doc_id long, " + _CODED + (", ids array<int>" if ids else ""), 8 << 20)
+    return text_batches(rows, "text", run, "doc_id long, " + _CODED + (", ids array<int>" if ids else ""))
 
 
 def op1_sentencepiece(docs: DataFrame, model_file: str) -> DataFrame:

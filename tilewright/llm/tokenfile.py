@@ -281,7 +281,7 @@ def _encoded(rows: DataFrame, tokenizer_file: str, bounds: list[int], end_id: in
             part = low + (place * np.maximum(high - low, 1) >> 31)
             yield pa.record_batch([pa.array(part, pa.int32()), b.column("doc_id"), b.column("h"), binary.cast(pa.binary())], names=["part", "doc_id", "h", "ids"])
 
-    return text_batches(rows, "text", run, "part int, doc_id long, h long, ids binary", 6 << 20)
+    return text_batches(rows, "text", run, "part int, doc_id long, h long, ids binary", 4 << 20)
 
 
 def write_tokens(
