@@ -100,3 +100,42 @@ def test_drop_stream(spark, tmp_path):
     q.awaitTermination()
     assert seen == [(1, 4, 3, False, False), (0, 2, 2, True, True)]
     assert [r.path for r in spark.read.parquet(str(tmp_path / "out")).orderBy("idx").collect()] == ["/z/c.psd"]  # each batch replaces
+
+
+def test_record_stats(spark, tmp_path):
+    import os
+
+    folder, schema, seen = tmp_path / "in", "seq long, format string, bucket int, ms double", []
+    folder.mkdir()
+    sizes = [3, 1, 4, 34, 2]
+    for i, n in enumerate(sizes):
+        p = folder / f"{i}.json"
+        p.write_text("\n".join(json.dumps({"seq": 100 * i + j, "format": "Png", "bucket": 1 + j % 2, "ms": 100.0 * i + j}) for j in range(n)))
+        os.utime(p, (1_000_000 + i, 1_000_000 + i))
+    kept = timing.write_stats
+    try:
+        timing.write_stats = lambda rows, path: (seen.append(rows.count()), kept(rows, path))
+        for _ in range(2):  # the second run finds nothing new
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+            timing.record_stats(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    finally:
+        timing.write_stats = kept
+    # written once five are new (3 + 1 + 4, then 34), and on exit (2); 20 of each bucket
+    assert seen == [8, 40, 40]
+    back = timing.read_stats(spark, str(tmp_path / "out"))
+    every = [(100.0 * i + j, 1 + j % 2) for i, n in enumerate(sizes) for j in range(n)]
+    for bucket in (1, 2):
+        got = [r.ms for r in back.filter(f"bucket = {bucket}").orderBy("seq").collect()]
+        assert got == [ms for ms, b in every if b == bucket][-20:]
+
+
+def test_lifecycle(spark):
+    events = [(1, "file", True), (2, "begin", None), (3, "path", None), (4, "file", True), (5, "file", False), (6, "complete", None), (7, "reset", None), (8, None, None), (9, "begin", None), (10, "cancel", None)]
+    log = spark.createDataFrame(events, "seq long, event string, supported boolean")
+    got = [tuple(r)[2:] for r in drops.lifecycle(log).orderBy("seq").collect()]
+    off = (False, False)
+    assert got == [
+        (0, 1, 1, *off), (0, 0, 0, True, False), (1, 0, 0, True, False), (1, 1, 1, True, False), (1, 2, 1, True, False),
+        (1, 2, 1, *off), (0, 0, 0, *off), (0, 0, 0, *off), (0, 0, 0, True, False), (0, 0, 0, False, True),
+    ]
+    assert drops.lifecycle(log.limit(0)).count() == 0

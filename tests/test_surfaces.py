@@ -80,3 +80,11 @@ def test_row_table(spark, files):
         sizes += [(r.path, int(n)) for n in psd.scanline_ranges(doc, bytes(r.content))[:, 1]]
     out = surfaces.row_table_fits(i, spark.createDataFrame(sizes, "path string, packed long")).collect()
     assert len(out) == 5 and all(r.fits for r in out)
+
+
+def test_staged(spark, files):
+    more = files.unionByName(spark.createDataFrame([("big", make_psd(40, 30, "Rgb", 3, "Rle"))], "path string, content binary"))
+    full, previews, tiles = surfaces.staged(more, 10, 10, 16, large_bytes=40 * 30 * 4, band=8)
+    assert {r.path for r in full.collect()} == {r.path for r in files.collect()} - {"Grayscale1Raw", "bad"}
+    assert [(r.path, r.w, r.h, len(r.data)) for r in previews.collect()] == [("big", 10, 7, 10 * 7 * 4)]
+    assert sorted((r.path, r.tx, r.ty) for r in tiles.collect()) == [("big", x, y) for x in range(3) for y in range(2)]

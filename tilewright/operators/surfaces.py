@@ -121,6 +121,18 @@ def tiled(files: DataFrame, edge: int, band: int | None = None, **options) -> Da
     return tiles.cut_tiles(lines, dims).select(F.col("asset_id").alias("path"), "tx", "ty", "data")
 
 
+def staged(files: DataFrame, max_w: int, max_h: int, edge: int, large_bytes: int = raster.LARGE_RASTER_BYTES, band: int | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, previews, tiles): how documents come on screen.  Those of fewer RGBA
+    bytes than ``large_bytes`` are one surface (path, data); of the others there is
+    first a preview (path, w, h, data), then tiles (path, tx, ty, data), in the order
+    in which the caller runs them; each decodes only what it shows."""
+    docs = psd.index(files).filter("error is null")
+    large = docs.filter(raster.rgba_bytes(F.col("width"), F.col("height")) >= large_bytes).select("path")
+    big, small = files.join(large, "path", "left_semi"), files.join(large, "path", "left_anti")
+    rows = rgba_rows(psd.plane_rows(small), psd.index(small).filter("error is null"), **options)
+    return full_surface(rows), preview(big, max_w, max_h, **options), tiled(big, edge, band, **options)
+
+
 def row_table_fits(index: DataFrame, plane_bytes: DataFrame) -> DataFrame:
     """path, fits: whether packed lengths (path, packed) and the row table fill the
     image data of run-length documents."""

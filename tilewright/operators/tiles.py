@@ -77,6 +77,32 @@ def tiles_in(tiles: DataFrame, rect: Column, tile_w: Column, tile_h: Column) ->
     return tiles.filter(near & exact)
 
 
+def view_tiles(views: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The tiles that each view draws over its preview: view_id and the columns of ``tiles``.
+
+    ``views``: view_id, asset_id, image_w, image_h, window_w, window_h, scale, zoom
+    (percent), off_x, off_y, tile_w, tile_h, preview_w, preview_h (null: there is no
+    preview, and tiles are always drawn).  Nothing comes for a view off screen, for
+    one that its preview is sharp enough for, and for images without a size.
+
+    A view is a short list of tile indexes, as its window is bounded, so tiles are
+    looked up by (asset_id, tx, ty) and no task needs all tiles of an asset.
+    """
+    rect = raster.visible_rect(*[F.col(c) for c in ("image_w", "image_h", "window_w", "window_h", "scale", "zoom", "off_x", "off_y")])
+    ppu = raster.preview_ppu(F.col("preview_w"), F.col("preview_h"), F.col("image_w"), F.col("image_h"))
+    wanted = F.col("preview_w").isNull() | raster.needs_tiles(F.col("zoom"), F.col("scale"), ppu)
+    v = views.filter((F.col("image_w") > 0) & (F.col("image_h") > 0)).filter(wanted).withColumn("_r", rect).filter("_r is not null")
+
+    def indexes(low: str, high: str, edge: str, size: str) -> Column:
+        n = F.ceil(F.col(size) / F.col(edge)).cast("int")
+        # a tile that begins where the rectangle ends does not overlap it
+        last = F.ceil(F.col("_r")[high] / F.col(edge)).cast("int") - 1
+        return F.explode(F.sequence(tile_at(F.col("_r")[low], F.col(edge), n), F.greatest(F.lit(0), F.least(last, n - 1))))
+
+    v = v.withColumn("ty", indexes("top", "bottom", "tile_h", "image_h")).withColumn("tx", indexes("left", "right", "tile_w", "image_w"))
+    return v.select("view_id", "asset_id", "tx", "ty").join(tiles, ["asset_id", "tx", "ty"]).select("view_id", *tiles.columns)
+
+
 def spiral(tiles: DataFrame, seed_x: Column, seed_y: Column) -> DataFrame:
     """Tiles with their place in the spiral around a seed tile."""
     return tiles.withColumn("spiral", raster.spiral_position(F.col("tx") - seed_x, F.col("ty") - seed_y))

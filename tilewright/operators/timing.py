@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 UNIT = 256_000.0
 SAMPLES = 20
+SAVE_EVERY = 5
 
 
 def size_bucket(size: Column) -> Column:
@@ -60,6 +62,49 @@ def parse_key(key: Column) -> Column:
     return F.when(bucket.isNotNull() & (F.get(parts, F.lit(0)) != ""), F.struct(F.get(parts, F.lit(0)).alias("format"), bucket.alias("bucket")))
 
 
+def save_points(samples: DataFrame, *session: str, order: str = "seq") -> DataFrame:
+    """``samples`` with ``unsaved`` (recorded and not yet saved, this one included)
+    and ``saves``: the table is written after every 5th sample of a session and,
+    on exit, after its last one."""
+    by = Window.partitionBy(*session).orderBy(order)
+    unsaved = F.pmod(F.row_number().over(by) - 1, F.lit(SAVE_EVERY)) + 1
+    last = F.lead(F.lit(1)).over(by).isNull()
+    return samples.withColumn("unsaved", unsaved).withColumn("saves", (F.col("unsaved") == SAVE_EVERY) | last)
+
+
+def record_stats(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run: samples (seq, format, bucket, ms) join the table at ``path`` once five or
+    more are new, and what is left when the stream ends.
+
+    What the table needs, 20 samples of each format and bucket at most, is kept
+    beside it under the batch's number, made from that of the batch before: a batch
+    that runs again replaces its own and counts nothing twice.
+    """
+    spark, kept, state = stream.sparkSession, path + "-samples", {"unsaved": 0, "batch": None}
+
+    def save() -> None:
+        write_stats(spark.read.schema(stream.schema).parquet(f"{kept}/{state['batch']}"), path)
+        state["unsaved"] = 0
+
+    def one(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number:
+            rows = rows.unionByName(spark.read.schema(stream.schema).parquet(f"{kept}/{number - 1}"))
+        recent(rows).write.mode("overwrite").parquet(f"{kept}/{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        state.update(unsaved=state["unsaved"] + batch.count(), batch=number)
+        if state["unsaved"] >= SAVE_EVERY:
+            save()
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if state["unsaved"]:
+        save()
+    return query
+
+
 def write_stats(samples: DataFrame, path: str) -> None:
     """A text table 'KEY: [ms, ...]', one line per format and bucket (20 numbers at most)."""
     kept = recent(samples)

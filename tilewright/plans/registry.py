@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import binary, formats, paths, raster, text
 from tilewright.operators import collection, color, jobs, tiles, timing
+from tilewright.streaming import drops
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +288,55 @@ def r_viewport(spark, sf):
     return tiles.tiles_in(tiles.tile_grid(_rasters(spark, sf)), rect, F.lit(64), F.lit(64)).select("asset_id", "tx", "ty")
 
 
+@query(
+    """with t as (select p_partkey id, (p_size*37+5)::int w, (p_size*23+3)::int h, (50+p_size*7)::double z,
+   case when p_partkey%3<>0 then greatest(1,floor(w*least(1.0::double,200.0/w,100.0/h)))::int end pw,
+   greatest(1,floor(h*least(1.0::double,200.0/w,100.0/h)))::int ph from part),
+ v as (select *, (800/2.0-w*z/100)/2+10/2.0 x0, (600/2.0-h*z/100)/2-4/2.0 y0 from t
+   where pw is null or z/100*2.0 > least(pw/w, ph/h)*1.05::double),
+ r as (select *, greatest(0,-x0/(z/100)) l, least(w,(800/2.0-x0)/(z/100)) r, greatest(0,-y0/(z/100)) o, least(h,(600/2.0-y0)/(z/100)) u from v),
+ g as (select *, unnest(range((h+63)//64))::int ty from r where l<r and o<u), x as (select *, unnest(range((w+63)//64))::int tx from g)
+select id view_id, id asset_id, tx, ty from x where tx*64<r and tx*64+least(64,w-tx*64)>l and ty*64<u and ty*64+least(64,h-ty*64)>o"""
+)
+def r_view_tiles(spark, sf):
+    """Tiles that views draw: visible, and only where the preview is not sharp enough."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("asset_id"), (50 + F.col("p_size") * 7).cast("double").alias("zoom"))
+    v = p.join(_rasters(spark, sf), "asset_id").withColumn("s", raster.preview_size(F.col("w"), F.col("h"), F.lit(200.0), F.lit(100.0)))
+    fixed = {"window_w": 800, "window_h": 600, "scale": 2.0, "off_x": 10, "off_y": -4}
+    views = v.select(
+        F.col("asset_id").alias("view_id"), "asset_id", F.col("w").alias("image_w"), F.col("h").alias("image_h"), "zoom", "tile_w", "tile_h",
+        F.when(F.col("asset_id") % 3 != 0, F.col("s.w")).alias("preview_w"), F.col("s.h").alias("preview_h"), *[F.lit(x).alias(c) for c, x in fixed.items()],
+    )
+    return tiles.view_tiles(views, tiles.tile_grid(_rasters(spark, sf))).select("view_id", "asset_id", "tx", "ty")
+
+
+@query(
+    """select event_id, n unsaved, n = 5 or last is null saves from (
+ select event_id, (row_number() over (partition by user_id order by event_id) - 1) % 5 + 1 n, lead(event_id) over (partition by user_id order by event_id) last from events)"""
+)
+def r_save_points(spark, sf):
+    """When the statistics of each user's session are written."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id")
+    return timing.save_points(e, "user_id", order="event_id").select("event_id", "unsaved", "saves")
+
+
+@query(
+    """with e as (select user_id, event_id seq, ['path','file','file','begin','complete','cancel','reset','file'][(event_id*7%8+1)::int] ev, value<100 ok from events),
+ p as (select *, count(*) filter (where ev in ('begin','reset')) over w ep,
+   max(case when ev in ('begin','complete','cancel') then seq end) over w a, max(case when ev='begin' then seq end) over w b,
+   max(case when ev='cancel' then seq end) over w c from e window w as (partition by user_id order by seq))
+select user_id, seq, ev event, count(*) filter (where ev='path') over v paths, count(*) filter (where ev='file') over v files,
+ count(*) filter (where ev='file' and ok) over v found, coalesce(a=b, false) active, coalesce(c>coalesce(b,-1), false) aborted
+from p window v as (partition by user_id, ep order by seq)"""
+)
+def r_drop_lifecycle(spark, sf):
+    """The status after each event of each user's drops."""
+    kinds = F.array(*[F.lit(k) for k in ("path", "file", "file", "begin", "complete", "cancel", "reset", "file")])
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = e.select("user_id", F.col("event_id").alias("seq"), F.get(kinds, (F.col("event_id") * 7 % 8).cast("int")).alias("event"), (F.col("value") < 100).alias("supported"))
+    return drops.lifecycle(e, "user_id")
+
+
 @query(
     """with t as (select p_partkey id, p_size*37.0 w, p_size*23.0 h, (50+p_size*7)::double z from part),
  v as (select *, (800/2.0-w*z/100)/2+10/2.0 l, (600/2.0-h*z/100)/2-4/2.0 t from t)

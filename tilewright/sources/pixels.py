@@ -1,7 +1,7 @@
-"""Pixel sources: Radiance HDR, TGA, baseline images, vector sizes.
+"""Pixel sources: Radiance HDR, TGA, TIFF, icons, baseline images, vector sizes.
 
-HDR and TGA are decoded with numpy in Arrow functions.  BMP, JPEG and PNG come
-from Spark's own ``image`` source.  HEIF, OpenEXR, WEBP, ICO and TIFF need
+HDR, TGA, baseline TIFF and ICO are decoded with numpy in Arrow functions.  BMP,
+JPEG and PNG come from Spark's own ``image`` source.  HEIF, OpenEXR and WEBP need
 libraries that are not here; their rows carry that as ``error``.
 """
 
@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MISSING = {"Heif": "libheif", "Exr": "OpenEXR", "Webp": "libwebp", "Ico": "an icon reader", "Tiff": "a TIFF reader"}
+from tilewright.sources.icons import read_ico
+from tilewright.sources.tiff import read_tiff
+
+MISSING = {"Heif": "libheif", "Exr": "OpenEXR", "Webp": "libwebp"}
 _SIZE = re.compile(rb"([-+])Y (\d+) ([-+])X (\d+)\n")
 
 
@@ -135,7 +138,15 @@ def _tga(data: bytes) -> tuple[np.ndarray, bool]:
     return read_tga(data), False
 
 
-DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, bool]]] = {"Hdr": _hdr, "Tga": _tga}
+def _tiff(data: bytes) -> tuple[np.ndarray, bool]:
+    return read_tiff(data), False
+
+
+def _ico(data: bytes) -> tuple[np.ndarray, bool]:
+    return read_ico(data), False
+
+
+DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, bool]]] = {"Hdr": _hdr, "Ico": _ico, "Tga": _tga, "Tiff": _tiff}
 SURFACE = "path string, format string, width int, height int, grey boolean, rgba binary, error string"
 
 

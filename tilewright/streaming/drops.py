@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from tilewright.functions import formats, paths
 from tilewright.operators.collection import distinct_paths, order_collection
@@ -49,6 +50,29 @@ def counters(batch: DataFrame) -> DataFrame:
     )
 
 
+def lifecycle(log: DataFrame, *keys: str) -> DataFrame:
+    """The status after each event of a log (``keys``, seq, event, supported):
+    paths, files, found, active, aborted.
+
+    begin: counters to 0, active, not aborted.  reset: counters to 0 only.
+    complete: not active.  cancel: aborted, not active.  path and file: counted.
+    Nothing is active or aborted before the first such event; a null event
+    changes nothing.
+    """
+    by = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = log.withColumn("_epoch", F.count_if(F.col("event").isin("begin", "reset")).over(by))
+    since = Window.partitionBy(*keys, "_epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = lambda on, off: F.coalesce(F.last(F.when(F.col("event").isin(*on), True).when(F.col("event").isin(*off), False), ignorenulls=True).over(by), F.lit(False))
+    return rows.select(
+        *keys, "seq", "event",
+        F.count_if(F.col("event") == "path").over(since).alias("paths"),
+        F.count_if(F.col("event") == "file").over(since).alias("files"),
+        F.count_if((F.col("event") == "file") & F.col("supported")).over(since).alias("found"),
+        state(["begin"], ["complete", "cancel"]).alias("active"),
+        state(["cancel"], ["begin"]).alias("aborted"),
+    )
+
+
 def publish(stream: DataFrame, target: str, checkpoint: str, on_counters: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Start: every batch overwrites ``target``; all that is there is read, then it ends."""
 
