@@ -130,9 +130,10 @@ class Collection:
         the transform."""
         m, n = len(self.sizes), len(self.bwt)
         order, ends = self._order()
-        step = np.empty(n, np.int64)
-        step[order] = np.arange(m - ends, m - ends + n)
-        string, length = np.empty(n, np.int64), np.empty(n, np.int64)
+        step = np.empty(n, np.int32)
+        step[order] = np.arange(m - ends, m - ends + n, dtype=np.int32)
+        del order
+        string, length = np.empty(n, np.int32), np.empty(n, np.int32)
         at, live = np.arange(m), np.arange(m)
         string[at], length[at] = live, 0
         for j in range(1, int(self.sizes.max(initial=0)) + 1):
@@ -149,20 +150,29 @@ def columns_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
     (string ``i * width + a`` lacks ``a``), so that a suffix from any byte on is
     a whole number of symbols in one of them.
     """
+    offsets = offsets.astype(np.int32)
     n = np.diff(offsets)
-    drop = np.tile(np.arange(width), len(n))
+    drop = np.tile(np.arange(width, dtype=np.int32), len(n))
     ends = np.repeat(offsets[1:], width) - drop
     sizes = np.maximum(np.repeat(n, width) - drop, 0) // width
-    string = np.repeat(np.arange(len(sizes)), sizes)
-    j = np.arange(len(string)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    string = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    j = np.arange(len(string), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
     begin = ends[string] - width * (j + 1)
     value = np.zeros(len(begin), np.uint64)
-    for k in range(width):
-        value = value << np.uint64(8) | data[begin + k]
-    names, code = np.unique(value, return_inverse=True)
+    for _ in range(width):
+        value <<= np.uint64(8)
+        value |= data[begin]
+        begin += 1
+    del begin
+    # hashed, then only the different symbols are sorted
+    coded = pa.array(value).dictionary_encode()
+    del value
+    names = coded.dictionary.to_numpy()
     kind = np.uint8 if len(names) < 256 else np.uint16 if len(names) < 1 << 16 else np.uint32
+    rank = np.empty(len(names), kind)
+    rank[np.argsort(names)] = np.arange(1, len(names) + 1, dtype=kind)
     columns = np.zeros((int(sizes.max(initial=0)) + 1, len(sizes)), kind)
-    columns[j, string] = code + 1
+    columns[j, string] = rank[coded.indices.to_numpy()]
     return columns, sizes
 
 
@@ -389,6 +399,8 @@ def _later_spans(strings: DataFrame, length: int, blocks: int) -> DataFrame:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(string)) - 1 if len(string) else first
         at = starts[string[first]]
+        # what large buckets took goes back to the machine
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc": docs[string[first]], "k": texts[string[first]], "at": at, "start": at + offset[first], "end": at + offset[last] + length})
 
     block = F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")
