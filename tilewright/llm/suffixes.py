@@ -86,15 +86,14 @@ class Collection:
 
     def _least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Least common prefix in each range [low, high)."""
-        table = [self.lcp]
-        size = high - low
-        level = np.frexp(size)[1] - 1
-        for k in range(int(level.max(initial=0))):
-            table.append(np.minimum(table[-1][: -(1 << k)], table[-1][1 << k :]))
+        level = np.frexp(high - low)[1] - 1
         out = np.empty(len(low), np.uint8)
-        for k in np.unique(level):
+        # the least of each 2**k neighbours
+        table = self.lcp
+        for k in range(int(level.max(initial=0)) + 1):
             at = np.flatnonzero(level == k)
-            out[at] = np.minimum(table[k][low[at]], table[k][high[at] - (1 << int(k))])
+            out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k)])
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
         return out
 
     def _insert(self, live: np.ndarray, at: np.ndarray, j: int, m: int) -> np.ndarray:
@@ -186,12 +185,14 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, st
     string, lacking = string // width, string % width
     offset = np.diff(offsets)[string] - lacking - width * symbols
     _, order = np.unique(docs, return_inverse=True)
-    place = (order[string].astype(np.int64) << 40) + starts[string] + offset
+    place = order[string].astype(np.int64)
+    place <<= 40
+    place += starts[string]
+    place += offset
     apart = c.lcp[1:] < length // width
     first = np.flatnonzero(np.concatenate(([True], apart)))
     least = np.minimum.reduceat(place, first)
-    group = np.cumsum(np.concatenate(([0], apart)))
-    later = (place > least[group]) & (width * symbols >= length)
+    later = (place > np.repeat(least, np.diff(np.append(first, len(place))))) & (width * symbols >= length)
     return string[later], offset[later]
 
 
