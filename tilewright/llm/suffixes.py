@@ -51,7 +51,7 @@ BLOCK = 3000
 BYTES = 60_000
 HOT = 16_384
 _RUN = 120  # windows of a piece at most
-_SLICE = 256 << 10  # bytes of text cut into pieces at a time
+_SLICE = 128 << 10  # bytes of text cut into pieces at a time
 _COUNTED = 400_000  # minimizers counted before they are passed on
 _NULL_ID = -(1 << 63)
 
@@ -196,12 +196,17 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, st
     return string[later], offset[later]
 
 
-def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+def sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``best`` (the least or the greatest) of each ``width`` neighbours."""
     have = 1
     while 2 * have <= width:
-        x = np.minimum(x[:-have], x[have:])
+        x = best(x[:-have], x[have:])
         have *= 2
-    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+    return best(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    return sliding(np.minimum, x, width)
 
 
 _FIRST = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x9E37))
@@ -222,39 +227,51 @@ class Pieces:
         self.least = np.zeros(0, np.uint64)
         if n < length:
             return
-        grams = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
-        self.grams = grams
-        least = sliding_least(grams, width)
-        # windows that do not cross into the next text
-        lengths = np.diff(self.offsets)
-        valid = np.zeros(n + 1, np.int32)
-        has = lengths >= length
-        np.add.at(valid, self.offsets[:-1][has], 1)
-        np.add.at(valid, self.offsets[1:][has] - length + 1, -1)
-        at = np.flatnonzero(np.cumsum(valid)[: len(least)] > 0)
-        if not len(at):
-            return
-        v = least[at]
-        new = np.concatenate(([True], (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)))
-        begins = np.zeros(n + 1, bool)
-        begins[self.offsets] = True
-        new |= begins[at]
-        run = np.flatnonzero(new)
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        begin = np.flatnonzero(place % _RUN == 0)
-        self.first, self.windows = at[begin], np.diff(np.append(begin, len(at)))
-        self.least = v[begin]
-        self.row = np.searchsorted(self.offsets, self.first, "right") - 1
+        grams = self.sums[GRAM:] - self.sums[:-GRAM]
+        grams *= self.down[: len(grams)]
+        self.grams = grams = mix(grams)
+        self._least = least = sliding_least(grams, width)
+        # runs of windows with one minimizer, cut where texts begin and where the
+        # windows begin that would cross into the next text
+        new = np.ones(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:-1])
+        new[self.offsets[self.offsets < len(least)]] = True
+        crossing = self.offsets[1:] - length + 1
+        new[crossing[(crossing > 0) & (crossing < len(least))]] = True
+        edges = np.flatnonzero(new)
+        run, windows = edges[:-1], np.diff(edges)
         # empty texts share an offset with the next: take the text that holds the window
+        row = np.searchsorted(self.offsets, run, "right") - 1
+        inside = run + length <= self.offsets[row + 1]
+        run, windows, row = run[inside], windows[inside], row[inside]
+        if not len(run):
+            return
+        # long runs make several pieces
+        parts = -(-windows // _RUN)
+        skipped = _RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        self.first = np.repeat(run, parts) + skipped
+        self.windows = np.minimum(np.repeat(windows, parts) - skipped, _RUN)
+        self.least = least[self.first]
+        self.row = np.repeat(row, parts)
         self.start = self.first - self.offsets[self.row]
         self.size = self.windows + length - 1
 
+    def _minima(self) -> np.ndarray:
+        """Places of the grams that are the least of a window that holds them."""
+        width = len(self.grams) - len(self._least) + 1
+        edge = np.zeros(width - 1, np.uint64)
+        best = sliding(np.maximum, np.concatenate((edge, self._least, edge)), width)
+        return np.flatnonzero(best == self.grams)
+
     def occurrences(self, which: np.ndarray) -> np.ndarray:
         """How often each chosen piece holds its minimizer."""
         if not len(which):
             return np.zeros(0, np.int64)
-        n = self.size[which] - GRAM + 1
-        hit = take(self.grams, self.first[which], n) == np.repeat(self.least[which], n)
+        first = self.first[which]
+        minima = self._minima()
+        low, high = np.searchsorted(minima, np.concatenate((first, first + self.size[which] - GRAM + 1))).reshape(2, -1)
+        n = high - low
+        hit = self.grams[take(minima, low, n)] == np.repeat(self.least[which], n)
         return np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
 
     def names(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
