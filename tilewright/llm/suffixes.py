@@ -181,7 +181,15 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, st
     width = next(w for w in (5, 4, 3, 2, 1) if length % w == 0)
     columns, sizes = columns_of(data, offsets, width)
     c = Collection(columns, sizes)
+    del columns
     string, symbols = c.places()
+    # suffixes with a neighbour that shares ``length`` bytes; they have so many themselves
+    near = np.zeros(len(c.lcp) + 1, bool)
+    near[:-1] = c.lcp >= length // width
+    at = np.flatnonzero(near[:-1] | near[1:])
+    first = np.flatnonzero(~near[at])
+    del c
+    string, symbols = string[at], symbols[at].astype(np.int64)
     string, lacking = string // width, string % width
     offset = np.diff(offsets)[string] - lacking - width * symbols
     _, order = np.unique(docs, return_inverse=True)
@@ -189,10 +197,10 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, st
     place <<= 40
     place += starts[string]
     place += offset
-    apart = c.lcp[1:] < length // width
-    first = np.flatnonzero(np.concatenate(([True], apart)))
+    if not len(at):
+        return string, offset
     least = np.minimum.reduceat(place, first)
-    later = (place > np.repeat(least, np.diff(np.append(first, len(place))))) & (width * symbols >= length)
+    later = place > np.repeat(least, np.diff(np.append(first, len(place))))
     return string[later], offset[later]
 
 
@@ -287,7 +295,7 @@ class Pieces:
 def _slices(batches: Iterator[pa.RecordBatch], column: str, copies=None) -> Iterator[pa.RecordBatch]:
     """Small slices; with ``copies`` without the rows that may be exact copies,
     unless they are known to be none (``_sure``)."""
-    for b in batches:
+    for b in (part for whole in batches for part in portions(whole, column, 4 << 20)):
         if copies is not None:
             may = in_bitmap(copies.value, b.column("_id").to_numpy().view(np.uint64))
             b = b.filter(pa.array(b.column("_sure").to_numpy(zero_copy_only=False) | ~may))
