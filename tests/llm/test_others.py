@@ -134,6 +134,18 @@ def test_nearest_in_split_buckets(spark, monkeypatch):
     assert [d for _, d in sorted(out[100])] == list(range(101, 121))
 
 
+def test_sample_is_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(mih, "SAMPLE", 1000)
+    rows = spark.range(0, 20_000, 1, 8).select("id", F.array(F.lit(1.0)).alias("v"))
+    least = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(1000)
+    assert [r["id"] for r in mih.sample_of(rows)] == [r["id"] for r in least.collect()]
+    # one id for all rows: whether its hash is small or not, there is a sample
+    for one in range(4):
+        same = rows.withColumn("id", F.lit(one).cast("long"))
+        assert len(mih.sample_of(same)) == 1000
+    assert mih.sample_of(rows.limit(0)) == []
+
+
 def test_long_list_of_urls_is_joined(spark):
     pages = spark.createDataFrame(URLS, "page_id long, url string")
     rules = urlfilter.rules_frame(spark)
