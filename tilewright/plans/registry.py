@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,19 +222,28 @@ def r_tone_map(spark, sf):
 select vec_id,i,cast(sum(d) over (partition by vec_id order by i)%256 as int) b from y"""
 )
 def r_predictor_undo(spark, sf):
-    """Running sums modulo 256 of each row, by the decoder's own function."""
+    """Running sums modulo 256 of each row, by the decoder's own function.
+
+    Products are in single precision, as the samples are.  A missing sample adds
+    nothing, and before the first one there is no sum; rows may differ in width.
+    """
     from tilewright.sources import psd
 
     def run(batches):
         for b in batches:
             d = b.column(1)
-            width = len(d.flatten()) // max(1, len(d))  # one width for all scanlines
-            rows = psd.undo_predictor(d.flatten().to_numpy().reshape(-1, width)) if len(d) else np.zeros((0, 0))
-            cut = pa.array(np.arange(len(d) + 1) * width, pa.int32())
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(cut, pa.array(rows.ravel().astype(np.int32)))], names=["vec_id", "b"])
+            width = pc.fill_null(pc.list_value_length(d), 0).to_numpy()
+            ends, flat = np.cumsum(width), d.flatten()
+            has, flat = flat.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(flat, 0).to_numpy()
+            out, begun = np.zeros(len(flat), np.int32), np.zeros(len(flat), bool)
+            for w in np.unique(width[width > 0]):
+                at = (ends[width == w] - w)[:, None] + np.arange(w)
+                out[at], begun[at] = psd.undo_predictor(flat[at]), np.logical_or.accumulate(has[at], axis=1)
+            cut = pa.array(np.concatenate(([0], ends)), pa.int32())
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(cut, pa.array(out, mask=~begun))], names=["vec_id", "b"])
 
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    d = F.transform("embedding", lambda v: F.pmod(F.floor(v * 255).cast("int"), F.lit(256)))
+    d = F.transform("embedding", lambda v: F.pmod(F.floor(v * F.lit(255).cast("float")).cast("int"), F.lit(256)))
     undone = e.select(F.col("vec_id").cast("long"), d.alias("d")).mapInArrow(run, "vec_id long, b array<int>")
     return undone.select("vec_id", F.posexplode("b").alias("i", "b"))
 
