@@ -53,3 +53,8 @@ def test_predictor_undo_of_odd_rows(spark, tmp_path):
     want = c.sql(f"select {', '.join(df.columns)} from ({registry.ORACLE_SQL['r_predictor_undo']})").fetchall()
     assert len(want) == len(edge) + 11
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_view_tiles_sends_no_grid_through_the_driver(spark, sf):
+    plan = registry.QUERIES["r_view_tiles"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

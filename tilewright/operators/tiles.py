@@ -86,7 +86,9 @@ def view_tiles(views: DataFrame, tiles: DataFrame) -> DataFrame:
     one that its preview is sharp enough for, and for images without a size.
 
     A view is a short list of tile indexes, as its window is bounded, so tiles are
-    looked up by (asset_id, tx, ty) and no task needs all tiles of an asset.
+    looked up by (asset_id, tx, ty) and no task needs all tiles of an asset.  Both
+    sides are sorted for it: Spark takes exploded rows for as few as the rows they
+    come from, and would send a whole grid through the driver.
     """
     rect = raster.visible_rect(*[F.col(c) for c in ("image_w", "image_h", "window_w", "window_h", "scale", "zoom", "off_x", "off_y")])
     ppu = raster.preview_ppu(F.col("preview_w"), F.col("preview_h"), F.col("image_w"), F.col("image_h"))
@@ -100,7 +102,7 @@ def view_tiles(views: DataFrame, tiles: DataFrame) -> DataFrame:
         return F.explode(F.sequence(tile_at(F.col("_r")[low], F.col(edge), n), F.greatest(F.lit(0), F.least(last, n - 1))))
 
     v = v.withColumn("ty", indexes("top", "bottom", "tile_h", "image_h")).withColumn("tx", indexes("left", "right", "tile_w", "image_w"))
-    return v.select("view_id", "asset_id", "tx", "ty").join(tiles, ["asset_id", "tx", "ty"]).select("view_id", *tiles.columns)
+    return v.select("view_id", "asset_id", "tx", "ty").hint("merge").join(tiles, ["asset_id", "tx", "ty"]).select("view_id", *tiles.columns)
 
 
 def spiral(tiles: DataFrame, seed_x: Column, seed_y: Column) -> DataFrame:

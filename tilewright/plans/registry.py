@@ -280,10 +280,10 @@ def r_tile_grid(spark, sf):
     return tiles.tile_grid(_rasters(spark, sf)).withColumnRenamed("asset_id", "asset_id")
 
 
-def _rasters(spark, sf):
+def _rasters(spark, sf, *more):
     p = spark.read.parquet(f"{sf}/part.parquet")
     return p.select(
-        F.col("p_partkey").alias("asset_id"), (F.col("p_size") * 37 + 5).alias("w"), (F.col("p_size") * 23 + 3).alias("h"), F.lit(64).alias("tile_w"), F.lit(64).alias("tile_h")
+        F.col("p_partkey").alias("asset_id"), (F.col("p_size") * 37 + 5).alias("w"), (F.col("p_size") * 23 + 3).alias("h"), F.lit(64).alias("tile_w"), F.lit(64).alias("tile_h"), *more
     )
 
 
@@ -310,8 +310,7 @@ select id view_id, id asset_id, tx, ty from x where tx*64<r and tx*64+least(64,w
 )
 def r_view_tiles(spark, sf):
     """Tiles that views draw: visible, and only where the preview is not sharp enough."""
-    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("asset_id"), (50 + F.col("p_size") * 7).cast("double").alias("zoom"))
-    v = p.join(_rasters(spark, sf), "asset_id").withColumn("s", raster.preview_size(F.col("w"), F.col("h"), F.lit(200.0), F.lit(100.0)))
+    v = _rasters(spark, sf, (50 + F.col("p_size") * 7).cast("double").alias("zoom")).withColumn("s", raster.preview_size(F.col("w"), F.col("h"), F.lit(200.0), F.lit(100.0)))
     fixed = {"window_w": 800, "window_h": 600, "scale": 2.0, "off_x": 10, "off_y": -4}
     views = v.select(
         F.col("asset_id").alias("view_id"), "asset_id", F.col("w").alias("image_w"), F.col("h").alias("image_h"), "zoom", "tile_w", "tile_h",
