@@ -540,3 +540,47 @@ def test_pipeline(spark, sf):
             want[d] += size > 0 and at < round(goal[s])
             at += size
     assert Counter(r.doc_id for r in out) == +want
+
+
+def test_tokens_give_memory_back():
+    """What an encoding worker holds stays small, however many portions and words it has seen."""
+    import subprocess
+    import sys
+
+    code = """
+import re, sys, threading, time
+import numpy as np
+import pyarrow as pa
+from tilewright.llm import tokenfile
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Rows:
+    mapInArrow = staticmethod(lambda f, schema: f)
+
+def batches():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        letters = rng.integers(97, 123, (100_000, 7)).astype(np.uint8)
+        words = letters.view("S7").ravel().astype(str)
+        texts = [" ".join(words[rng.integers(0, len(words), 500)]) for _ in range(2000)]
+        yield pa.record_batch([pa.array(np.arange(2000)), pa.array(np.arange(2000)), pa.array(texts)], names=["doc_id", "h", "text"])
+
+made = list(batches())
+run = tokenfile._encoded(Rows(), sys.argv[1], [0], 2)
+list(run([made[0].slice(0, 1)]))
+before, most, n = held(), [0], 0
+
+def watch():
+    while True:
+        most[0] = max(most[0], held())
+        time.sleep(0.02)
+
+threading.Thread(target=watch, daemon=True).start()
+for b in run(made):
+    n += b.num_rows
+print(n, most[0] - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code, tokenizer(WORDS)], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == 10_000 and float(out[1]) < 90, out

@@ -148,7 +148,7 @@ class WordEncoder:
 
     MARKS = '.,;:!?"#$%&()*+/<=>@[]^_`{|}~'
     TEXT = 500
-    KNOWN = 600_000  # words of plain letters that are remembered between batches
+    KNOWN = 200_000  # words of plain letters that are remembered between batches
 
     def __init__(self, tokenizer_file: str):
         import os
@@ -206,10 +206,14 @@ class WordEncoder:
         groups = [(new.filter(ascii_), self.quick), (new.filter(pc.invert(ascii_)), self.tok)]
         done = [self._together(w, tok) for w, tok in groups]
         ids, sizes = ([x for g in done for x in g[i]] for i in (0, 1))
+        # where the new words come to stand: those of ASCII letters first
+        place = np.argsort(np.argsort(~ascii_.to_numpy(zero_copy_only=False), kind="stable"), kind="stable") + len(self.known)
         self.known = pa.concat_arrays([self.known, *[w for w, _ in groups]])
         self.store, self.size = np.concatenate([self.store, *ids]), np.concatenate([self.size, *sizes])
         starts = np.cumsum(self.size) - self.size
-        at = pc.index_in(words, value_set=self.known).to_numpy()
+        is_new = at.is_null().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        at[is_new] = place
         out = self.store, starts[at], self.size[at]
         if len(self.known) > self.KNOWN:
             # start again with the words in use
@@ -280,8 +284,11 @@ def _encoded(rows: DataFrame, tokenizer_file: str, bounds: list[int], end_id: in
             place = (b.column("h").to_numpy() >> 33) + (1 << 30)
             part = low + (place * np.maximum(high - low, 1) >> 31)
             yield pa.record_batch([pa.array(part, pa.int32()), b.column("doc_id"), b.column("h"), binary.cast(pa.binary())], names=["part", "doc_id", "h", "ids"])
+            # what Arrow keeps of a portion's arrays would stay with the worker
+            del text, ids, n, data, cut, binary, doc, low, high, place, part
+            pa.default_memory_pool().release_unused()
 
-    return text_batches(rows, "text", run, "part int, doc_id long, h long, ids binary", 4 << 20)
+    return text_batches(rows, "text", run, "part int, doc_id long, h long, ids binary", 2 << 20)
 
 
 def write_tokens(
